@@ -9,105 +9,142 @@ operators here split every group into *chunks* along its order:
   a small window over those rows gives what happened before the chunk;
 * the two are joined on (group, chunk), reusing the shuffle of the first step.
 
-A chunk must be a non-decreasing function of the order. Levels may be nested,
+Matches are cut only when they are hot (see ``hot_keys``). On ordinary data
+the second step has no input and adaptive execution removes it, which leaves
+the plain window. A chunk must be a non-decreasing function of the order. Levels may be nested,
 so the window over chunks is itself chunked when a group has very many.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_BITS = 16  # rows of one sequence per chunk: 65,536
+CHUNK_BITS = 16  # positions of a hot match per chunk: 65,536
 BLOCK_BITS = 12  # matches per chunk when a group spans matches: 4,096
-
-
-def seq_chunk(seq: str = "seq") -> Column:
-    return F.shiftright(F.col(seq).cast("long"), CHUNK_BITS)
+HOT_ROWS = 1 << 20  # a match with fewer rows is never hot
+HOT_SHARE = 1e-5  # nor one that holds a smaller share of all rows
 
 
 def match_block(match_id: str = "match_id") -> Column:
     return F.shiftright(F.col(match_id).cast("long"), BLOCK_BITS)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], levels: list[list[str]],
-            sums: dict[str, Column], prior: bool = False) -> DataFrame:
-    """Running sums inside ``keys`` along ``order``; ``prior`` leaves the row itself out.
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, floor: int = HOT_ROWS) -> DataFrame:
+    """Keys that hold more than ``share`` of all rows (and more than ``floor`` rows).
 
-    ``levels`` lists chunk columns from fine to coarse. Every sum is a long or
-    double column and never null (an empty prefix gives zero).
+    By construction there are fewer than ``1 / share`` of them, so the result
+    is safe to broadcast whatever the input size. On ordinary data it is
+    empty, and adaptive execution then drops every join that depends on it.
     """
-    inputs = {f"_in_{name}": col for name, col in sums.items()}
-    df = df.withColumns(inputs)
-    end = -1 if prior else Window.currentRow
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = df.agg((F.count(F.lit(1)) * share).alias("_t"))
+    return counts.filter(F.col("_n") > F.greatest(F.lit(float(floor)), total.scalar())).select(key)
+
+
+@dataclass(frozen=True)
+class Sequenced:
+    """Balls in order.
+
+    ``rows`` carries ``seq`` (position in the match) and ``chunk`` (a slice of
+    65,536 positions in a hot match, 0 in every other match); ``hot`` holds
+    the rows of the hot matches only, with the same columns; ``plain`` is the
+    input for aggregates that need no order.
+    """
+
+    rows: DataFrame
+    hot: DataFrame
+    plain: DataFrame
+
+    @classmethod
+    def of(cls, balls: DataFrame | Sequenced, share: float = HOT_SHARE, floor: int = HOT_ROWS) -> Sequenced:
+        """From a table that already has ``seq``."""
+        if isinstance(balls, Sequenced):
+            return balls
+        hot = F.broadcast(hot_keys(balls, "match_id", share, floor).withColumn("_hot", F.lit(True)))
+        return cls(
+            rows=with_chunk(balls.join(hot, "match_id", "left")),
+            hot=with_chunk(balls.join(hot, "match_id")),
+            plain=balls,
+        )
+
+    def with_rows(self, rows: DataFrame) -> Sequenced:
+        return replace(self, rows=rows)
+
 
-    def local(extra: list[str]) -> dict[str, Column]:
-        by = keys + extra
-        window = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
-        window = window.orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        return {name: F.coalesce(F.sum(f"_in_{name}").over(window), F.lit(0)) for name in sums}
+def with_chunk(balls: DataFrame, flag: str = "_hot") -> DataFrame:
+    """``chunk`` from ``seq`` in the rows flagged as hot."""
+    piece = F.shiftright(F.col("seq").cast("long"), CHUNK_BITS)
+    return balls.withColumn("chunk", F.when(F.col(flag), piece).otherwise(F.lit(0).cast("long"))).drop(flag)
 
+
+def running(df: DataFrame, keys: list[str], order: list[str], levels: list[list[str]], sums: dict[str, Column],
+            prior: bool = False, source: DataFrame | None = None) -> DataFrame:
+    """Running sums inside ``keys`` along ``order``; ``prior`` leaves the row itself out.
+
+    ``levels`` lists chunk columns from fine to coarse. With ``source`` only
+    the groups found there are cut into chunks (every other group must lie in
+    one chunk); without it the chunk totals come from ``df`` itself. Every
+    sum is a long or double and never null: an empty prefix gives zero.
+    """
+    end = -1 if prior else Window.currentRow
+    by = keys + (levels[0] if levels else [])
+    window = Window.partitionBy(*by) if by else Window.partitionBy()
+    window = window.orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    kept = [c for c in df.columns if c not in sums]
+    local = {n: F.coalesce(F.sum(c).over(window), F.lit(0)) for n, c in sums.items()}
     if not levels:
-        return df.withColumns(local([])).drop(*inputs)
+        return df.select(*kept, *[value.alias(n) for n, value in local.items()])
 
     fine, coarser = levels[0], levels[1:]
-    chunk_keys = keys + fine
-    every = chunk_keys + [c for level in coarser for c in level if c not in chunk_keys]
-    totals = df.groupBy(*every).agg(*[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in sums])
-    carry = running(totals, keys, fine, coarser, {f"_c_{n}": F.col(f"_t_{n}") for n in sums}, prior=True)
-    carry = carry.select(*[F.col(k).alias(f"_k_{k}") for k in chunk_keys], *[f"_c_{n}" for n in sums])
-    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in chunk_keys]
-    joined = df.join(carry, on=match, how="inner")
-    return joined.withColumns({
-        name: (value + F.col(f"_c_{name}")) for name, value in local(fine).items()
-    }).select(*[c for c in df.columns if c not in inputs and c not in sums], *sums)
+    every = by + [c for level in coarser for c in level if c not in by]
+    totals = (df if source is None else source).groupBy(*every).agg(*[F.sum(c).alias(f"_c_{n}") for n, c in sums.items()])
+    carry = running(totals, keys, fine, coarser, {f"_p_{n}": F.col(f"_c_{n}") for n in sums}, prior=True)
+    carry = carry.select(*[F.col(k).alias(f"_k_{k}") for k in by], *[f"_p_{n}" for n in sums])
+    joined = df.join(carry, [F.col(k) == F.col(f"_k_{k}") for k in by], "inner" if source is None else "left")
+    return joined.select(
+        *kept, *[(value + F.coalesce(f"_p_{n}", F.lit(0))).alias(n) for n, value in local.items()]
+    )
 
 
 def trailing(df: DataFrame, keys: list[str], order: list[str], chunk: str, value: str, k: int,
-             total: str, count: str) -> DataFrame:
+             total: str, count: str, source: DataFrame | None = None) -> DataFrame:
     """Sum and number of the ``k`` rows before each row of its group."""
-    by = Window.partitionBy(*keys, chunk).orderBy(*order)
-    before = by.rowsBetween(-k, -1)
+    by = [*keys, chunk]
+    window = Window.partitionBy(*by).orderBy(*order)
     local = df.withColumns({
-        "_pos": F.row_number().over(by),
-        "_sum": F.coalesce(F.sum(value).over(before), F.lit(0)),
-        "_more": F.lead(F.lit(1), k).over(by),
+        "_pos": F.row_number().over(window),
+        "_sum": F.coalesce(F.sum(value).over(window.rowsBetween(-k, -1)), F.lit(0)),
     })
     # At most k rows of a chunk have fewer than k successors in it.
+    ends = (df if source is None else source).select(
+        *by, F.row_number().over(window).alias("_pos"), F.lead(F.lit(1), k).over(window).alias("_more"),
+        F.col(value).cast("long").alias("_v"),
+    )
     tails = (
-        local.filter(F.col("_more").isNull())
-        .groupBy(*keys, chunk)
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", F.col(value).alias("_v")))).alias("_t"))
+        ends.filter(F.col("_more").isNull()).groupBy(*by)
+        .agg(F.array_sort(F.collect_list(F.struct("_pos", "_v"))).alias("_t"))
         .withColumn("_t", F.col("_t._v"))
     )
     chunks_before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(-k, -1)
     carry = (
         tails.withColumn("_carry", F.flatten(F.collect_list("_t").over(chunks_before)))
         .filter(F.size("_carry") > 0)
-        .select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, chunk]], "_carry")
+        .select(*[F.col(c).alias(f"_k_{c}") for c in by], "_carry")
     )
-    joined = local.join(carry, on=[F.col(c) == F.col(f"_k_{c}") for c in [*keys, chunk]], how="left")
+    joined = local.join(carry, on=[F.col(c) == F.col(f"_k_{c}") for c in by], how="left")
     missing = F.greatest(F.lit(k) - (F.col("_pos") - 1), F.lit(0))
-    size = F.coalesce(F.size("_carry"), F.lit(0))
+    size = F.coalesce(F.array_size("_carry"), F.lit(0))
     take = F.least(missing, size)
     extra = F.when(take > 0, F.slice("_carry", size - take + 1, take))
-    return joined.withColumns({
-        total: F.col("_sum") + F.coalesce(
-            F.aggregate(extra, F.lit(0).cast("long"), lambda s, x: s + x.cast("long")), F.lit(0)
-        ),
-        count: F.least(F.col("_pos") - 1, F.lit(k)) + take,
-    }).select(*df.columns, total, count)
-
-
-def hot_keys(df: DataFrame, key: str, share: float = 1e-4, floor: int = 1 << CHUNK_BITS) -> DataFrame:
-    """Keys that hold more than ``share`` of all rows (and more than ``floor`` rows).
-
-    By construction there are fewer than ``1 / share`` of them, so the result
-    is safe to broadcast whatever the input size.
-    """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg((F.count(F.lit(1)) * share).alias("_t"))
-    return counts.filter(F.col("_n") > F.greatest(F.lit(float(floor)), total.scalar())).select(key)
+    borrowed = F.aggregate(extra, F.lit(0).cast("long"), lambda s, x: s + x)
+    return joined.select(
+        *df.columns,
+        (F.col("_sum") + F.coalesce(borrowed, F.lit(0))).alias(total),
+        (F.least(F.col("_pos") - 1, F.lit(k)) + take).alias(count),
+    )
 
 
 def last_n(df: DataFrame, partition: list[str], order: list[Column], n: int, rank: str = "rn") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innings.functions.scalars import is_wicket, phase
-from innings.operators.ordered import hot_keys, running
+from innings.operators.ordered import HOT_ROWS, HOT_SHARE, Sequenced, hot_keys, running, with_chunk
 
 # The full row order of a match; rows of the line table are all distinct on it.
 ROW_ORDER = [
@@ -67,36 +67,27 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _numbered_lines(lines: DataFrame) -> DataFrame:
-    """Adds ``seq``: the position of a line in its match, from 1.
+_CUTS = ["_cut_order", "_cut_line", "_cut_day"]
 
-    Lines are numbered inside an order and shifted by the size of the orders
-    before it. An order that holds a large share of all lines is cut further
-    by line number and ship date.
-    """
-    hot = F.broadcast(hot_keys(lines, "l_orderkey").withColumn("_hot", F.lit(True)))
-    cut = lines.join(hot, "l_orderkey", "left").withColumns({
-        "_cut_line": F.when(F.col("_hot"), F.col("l_linenumber")).otherwise(-1),
-        "_cut_day": F.when(F.col("_hot"), F.unix_date(F.col("l_shipdate").cast("date"))).otherwise(-1),
-    }).drop("_hot")
-    numbered = running(cut, ["match_id"], ROW_ORDER, [["l_orderkey", "_cut_line", "_cut_day"]], {"seq": F.lit(1)})
-    return numbered.drop("_cut_line", "_cut_day")
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").withColumn("match_id", F.expr("l_orderkey div 50"))
 
-def deliveries(spark: SparkSession, sf_dir: str, ordered: bool = False, teams: bool = False) -> DataFrame:
-    """One row per ball.
 
-    ``ordered`` adds ``seq`` (one shuffle), ``teams`` adds the two sides (one
-    join); queries that need neither read the line table without a shuffle.
-    """
-    lines = table(spark, sf_dir, "lineitem").withColumn(
-        "match_id", F.expr("l_orderkey div 50")
-    )
-    if ordered:
-        lines = _numbered_lines(lines)
-    balls = lines.selectExpr(
+def _cut(lines: DataFrame) -> DataFrame:
+    """Slices of a hot match along the row order: its orders, their lines, and days."""
+    whole = F.lit(-1)
+    return lines.withColumns({
+        "_cut_order": F.when(F.col("_hot"), F.col("l_orderkey")).otherwise(whole),
+        "_cut_line": F.when(F.col("_hot"), F.col("l_linenumber")).otherwise(whole),
+        "_cut_day": F.when(F.col("_hot"), F.unix_date(F.col("l_shipdate").cast("date"))).otherwise(whole),
+    })
+
+
+def _balls(lines: DataFrame, extra: list[str]) -> DataFrame:
+    return lines.selectExpr(
         "match_id",
-        *(["seq"] if ordered else []),
+        *extra,
         "cast(1 + (l_orderkey % 50) div 25 as int) as inning",
         "cast(((l_orderkey % 25) * 20) div 25 as int) as over",
         "cast(1 + (l_linenumber - 1) % 6 as int) as ball",
@@ -116,11 +107,40 @@ def deliveries(spark: SparkSession, sf_dir: str, ordered: bool = False, teams: b
         "phase": phase("over"),
         "is_wicket": is_wicket(),
     })
-    if teams:
-        sides = matches(spark, sf_dir).select("id", "team1", "team2")
-        first = F.col("inning") == 1
-        balls = balls.join(sides, balls.match_id == sides.id).withColumns({
-            "batting_team": F.when(first, F.col("team1")).otherwise(F.col("team2")),
-            "bowling_team": F.when(first, F.col("team2")).otherwise(F.col("team1")),
-        }).drop("id", "team1", "team2")
-    return balls
+
+
+def with_teams(balls: DataFrame, games: DataFrame) -> DataFrame:
+    sides = games.select("id", "team1", "team2")
+    first = F.col("inning") == 1
+    return balls.join(sides, balls.match_id == sides.id).withColumns({
+        "batting_team": F.when(first, F.col("team1")).otherwise(F.col("team2")),
+        "bowling_team": F.when(first, F.col("team2")).otherwise(F.col("team1")),
+    }).drop("id", "team1", "team2")
+
+
+def deliveries(spark: SparkSession, sf_dir: str, teams: bool = False) -> DataFrame:
+    """One row per ball, without an order: a scan, and one join when ``teams`` are wanted."""
+    balls = _balls(_lines(spark, sf_dir), [])
+    return with_teams(balls, matches(spark, sf_dir)) if teams else balls
+
+
+def sequenced(spark: SparkSession, sf_dir: str, share: float = HOT_SHARE, floor: int = HOT_ROWS) -> Sequenced:
+    """Balls with their position in the match.
+
+    An ordinary match is numbered by one window. A match that holds a large
+    share of all lines is cut into slices, numbered inside each slice and
+    shifted by the size of the slices before it.
+    """
+    lines = _lines(spark, sf_dir)
+    hot = F.broadcast(hot_keys(lines, "match_id", share, floor).withColumn("_hot", F.lit(True)))
+    some = _cut(lines.join(hot, "match_id"))
+
+    def numbered(cut: DataFrame) -> DataFrame:
+        placed = running(cut, ["match_id"], ROW_ORDER, [_CUTS], {"seq": F.lit(1)}, source=some)
+        return with_chunk(_balls(placed, ["seq", "_hot"]))
+
+    return Sequenced(
+        rows=numbered(_cut(lines.join(hot, "match_id", "left"))),
+        hot=numbered(some),
+        plain=_balls(lines, []),
+    )
