@@ -155,7 +155,7 @@ def fixed(col: Column, nd: int) -> Column:
 
 
 def clean_stat(col: Column) -> Column:
-    return F.when(col.isNull() | F.isnan(col.cast("double")), "N/A").otherwise(fixed(F.round(col, 2), 2))
+    return F.when(col.isNull() | F.isnan(col.cast("double")), "N/A").otherwise(F.round(col.cast("double"), 2).cast("string"))
 
 
 def slug(col: Column, separators: str = " ", dropped: str = "") -> Column:

@@ -1 +1,89 @@
-"""Placeholder."""
+"""Model training and scoring on the derived matches. Searches are kept small; the ranges are parameters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from innings.functions.scalars import INTENT_CLASSES, encode_label
+from innings.operators import features as X
+from innings.operators import models as M
+from innings.operators import quality as Qy
+from innings.operators import questions as Q
+from innings.operators import teams as T
+from innings.plans.aggregates import venue_table, win_requests
+from innings.plans.registry import query
+from innings.sources.adapter import matches, sequenced
+
+CUTOFF = 2001
+WIN_POINT = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.1, "subsamplingRate": 0.8}
+WIN_GRID = [WIN_POINT, {"maxIter": 8, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 1.0}]
+INTENT_POINT = {"numTrees": 10, "maxDepth": 5, "subsamplingRate": 0.8}
+INTENT_GRID = [INTENT_POINT, {"numTrees": 10, "maxDepth": 4, "subsamplingRate": 1.0}]
+
+
+def win_rows(spark, sf):
+    rows = X.match_features(matches(spark, sf), venue_table(spark, sf)).withColumn("label", F.col("target"))
+    return X.temporal_split(rows, "season", CUTOFF)
+
+
+def intent_rows(spark, sf):
+    rows = X.intent_features_prior(sequenced(spark, sf), matches(spark, sf))
+    return X.temporal_split(rows.withColumn("label", encode_label("intent")), "season", CUTOFF)
+
+
+@query("win_model")
+def win_model(spark, sf):
+    """Cross-validated and hold-out AUC of the chosen settings."""
+    train, test = win_rows(spark, sf)
+    model, best = M.train_win_model(train, WIN_GRID, folds=2)
+    auc = Qy.auc_rank(M.score(model, test, X.WIN_FEATURES), "score", "label")
+    return auc.withColumns({"cv_auc": F.lit(round(best["score"], 6)), "max_depth": F.lit(best["params"]["maxDepth"])})
+
+
+@query("win_calibration")
+def win_calibration(spark, sf):
+    """Raw against calibrated probability in tenths of the score."""
+    train, _ = win_rows(spark, sf)
+    scores = M.out_of_fold_scores(train, WIN_POINT, folds=2)
+    both = M.calibrated(M.calibrate(scores), scores)
+    return both.groupBy(F.floor(F.col("score") * 10).alias("tenth")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean_score"),
+        F.round(F.avg("calibrated"), 4).alias("mean_calibrated"), F.round(F.avg("label"), 4).alias("win_share"))
+
+
+def _requests(spark, sf):
+    return Q.prediction_requests(win_requests(spark, sf), venue_table(spark, sf), T.team_form(matches(spark, sf)))
+
+
+@query("win_predictions")
+def win_predictions(spark, sf):
+    train, _ = win_rows(spark, sf)
+    model, _ = M.train_win_model(train, [WIN_POINT], folds=2)
+    return M.predict_win(model, _requests(spark, sf)).select(
+        "request_id", "team1", "team2", "team1_win_prob", "team2_win_prob")
+
+
+@query("win_attribution")
+def win_attribution(spark, sf):
+    train, _ = win_rows(spark, sf)
+    model, _ = M.train_win_model(train, [WIN_POINT], folds=2)
+    return M.attribution(model, _requests(spark, sf), train)
+
+
+@query("intent_model")
+def intent_model(spark, sf):
+    """Per-class report of the chosen settings on the hold-out season."""
+    train, test = intent_rows(spark, sf)
+    model, _ = M.train_intent_model(train, X.PRIOR_FEATURES, INTENT_GRID, folds=2)
+    scored = M.score_intent(model, test, X.PRIOR_FEATURES, "h2h_balls")
+    return Qy.classification_report(scored, "intent", "predicted_intent")
+
+
+@query("intent_scores")
+def intent_scores(spark, sf):
+    train, test = intent_rows(spark, sf)
+    model, _ = M.train_intent_model(train, X.PRIOR_FEATURES, [INTENT_POINT], folds=2)
+    scored = M.score_intent(model, test, X.PRIOR_FEATURES, "h2h_balls")
+    return scored.select(
+        "match_id", "seq", "predicted_intent", "confidence_flag",
+        *[F.col("probabilities")[c].alias(f"p_{c}") for c in INTENT_CLASSES])

@@ -1 +1,265 @@
-"""Placeholder."""
+"""Batch retrieval over ``documents``, ``embeddings`` and the query texts of ``benchmark``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from innings.functions import vectors as Vx
+from innings.functions.text import SPACE_PATTERN, tokens
+from innings.operators import quality as Qy
+from innings.operators import retrieval as R
+from innings.plans.aggregates import h2h_table
+from innings.plans.registry import query
+from innings.plans.sql import add_block, sql
+from innings.plans.texts import player_docs_table
+from innings.sources.adapter import table
+
+DIM = 64
+N_LABELS = 10
+
+
+def corpus(spark, sf):
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.col("lang").alias("doc_type"), F.col("source").alias("team"), "text")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return docs.join(vectors, "doc_id", "left")
+
+
+def label_vectors(spark, sf):
+    """One exemplar per label: the vector with the smallest id."""
+    return table(spark, sf, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector"))
+
+
+def questions(spark, sf):
+    """Every benchmark text; its vector is the exemplar of the label its id falls on."""
+    items = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), "text", (F.col("item_id") % N_LABELS).cast("int").alias("label"))
+    return items.join(label_vectors(spark, sf), "label", "left").select("query_id", "text", "vector")
+
+
+def exemplar_queries(spark, sf):
+    return label_vectors(spark, sf).select(F.col("label").alias("query_id"), "vector")
+
+
+def vector_docs(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+
+
+def _words(source: str, key: str, alias: str) -> str:
+    return (f"SELECT * FROM (SELECT {key} AS {alias}, unnest(regexp_split_to_array(lower(text), '{SPACE_PATTERN}')) AS term "
+            f"FROM {source}) w WHERE term <> ''")
+
+
+def bm25_blocks(prefix: str, docs: str, key: str, queries: str, needs: list[str], k: int = 80) -> None:
+    """``<prefix>tf``, ``<prefix>idf`` and ranked hits ``<prefix>hits`` over the named sources."""
+    p = prefix
+    add_block(f"{p}idf", f"""
+{p}tok AS ({_words(docs, key, 'doc_id')}),
+{p}dl AS (SELECT x.{key} AS doc_id, COUNT(term) AS dl FROM {docs} x LEFT JOIN {p}tok ON {p}tok.doc_id = x.{key} GROUP BY 1),
+{p}st AS (SELECT COUNT(*) AS n, SUM(dl) / COUNT(*) AS avgdl FROM {p}dl),
+{p}tf AS (SELECT term, doc_id, COUNT(*) AS tf FROM {p}tok GROUP BY 1, 2),
+{p}raw AS (SELECT term, COUNT(*) AS df, ln((SELECT n FROM {p}st) - COUNT(*) + 0.5::DOUBLE) - ln(COUNT(*) + 0.5::DOUBLE) AS r
+  FROM {p}tf GROUP BY 1),
+{p}idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25::DOUBLE * (SELECT AVG(r) FROM {p}raw) ELSE r END AS idf FROM {p}raw)""",
+              needs)
+    add_block(f"{p}hits", f"""
+{p}qt AS (SELECT query_id, term, COUNT(*) AS qn FROM ({_words(queries, 'query_id', 'query_id')}) z GROUP BY 1, 2),
+{p}sc AS (SELECT query_id, tf.doc_id, round(SUM(qn * idf * tf * 2.5::DOUBLE /
+   (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avgdl FROM {p}st)))), 6) AS score
+  FROM {p}qt q JOIN {p}idf i ON i.term = q.term JOIN {p}tf tf ON tf.term = q.term JOIN {p}dl dl ON dl.doc_id = tf.doc_id
+  GROUP BY 1, 2),
+{p}hits AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id
+   ORDER BY score DESC, doc_id) AS rank FROM {p}sc WHERE score > 0) r WHERE rank <= {k})""", [f"{p}idf"])
+
+
+_COS = ("list_dot_product(q.vector::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.vector::DOUBLE[], "
+        "q.vector::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])))")
+
+add_block("lv", "lv AS (SELECT label, arg_min(embedding, vec_id) AS vector FROM embeddings GROUP BY 1)", [])
+add_block("qs", """
+qs AS (SELECT item_id AS query_id, text, vector FROM benchmark LEFT JOIN lv ON lv.label = item_id % 10)""", ["lv"])
+bm25_blocks("b_", "documents", "doc_id", "qs", ["qs"])
+
+
+def _dense(name: str, queries: str, where: str, needs: list[str], k: int) -> None:
+    add_block(name, f"""
+{name} AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id
+   ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.query_id, e.vec_id AS doc_id, round({_COS}, 6) AS score
+    FROM {queries} q CROSS JOIN embeddings e {where}) s) r WHERE rank <= {k})""", needs)
+
+
+add_block("eq", "eq AS (SELECT label AS query_id, vector FROM lv)", ["lv"])
+_dense("dx", "eq", "", ["eq"], 80)
+_dense("dq", "qs", "JOIN documents t ON t.doc_id = e.vec_id AND t.lang = 'en'", ["qs"], 80)
+
+add_block("fused", """
+fused AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
+   AS rank FROM (SELECT query_id, doc_id, round(SUM(1.0::DOUBLE / (60 + rank)), 9) AS score
+    FROM (SELECT query_id, doc_id, rank FROM dq UNION ALL SELECT query_id, doc_id, rank FROM b_hits) u GROUP BY 1, 2) f) r
+  WHERE rank <= 80)""", ["dq", "b_hits"])
+add_block("rr", f"""
+ov AS (SELECT f.query_id, f.doc_id, COUNT(t.term) AS shared FROM fused f
+   JOIN b_qt ON b_qt.query_id = f.query_id LEFT JOIN b_tf t ON t.doc_id = f.doc_id AND t.term = b_qt.term GROUP BY 1, 2),
+rr AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+  FROM (SELECT ov.query_id, ov.doc_id, round((1 + COALESCE({_COS}, 0.0)) * (shared /
+     (SELECT COUNT(*) FROM b_qt WHERE b_qt.query_id = ov.query_id)), 6) AS score
+   FROM ov JOIN qs q ON q.query_id = ov.query_id LEFT JOIN embeddings e ON e.vec_id = ov.doc_id) s) r WHERE rank <= 12)""",
+          ["fused"])
+
+
+@query("token_counts", f"""
+WITH t AS ({_words('documents', 'doc_id', 'doc_id')})
+SELECT d.doc_id, COUNT(term) AS n_tokens, COUNT(DISTINCT term) AS n_distinct FROM documents d
+LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY 1""")
+def token_counts(spark, sf):
+    words = table(spark, sf, "documents").select("doc_id", tokens("text").alias("w"))
+    return words.select("doc_id", F.size("w").cast("long").alias("n_tokens"),
+                        F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
+
+
+@query("bm25_idf", sql("b_idf", "SELECT term, df, round(idf, 6) AS idf FROM b_idf"))
+def bm25_idf(spark, sf):
+    return R.bm25_index(table(spark, sf, "documents")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("bm25_topk", sql("b_hits", "SELECT * FROM b_hits"))
+def bm25_topk(spark, sf):
+    return R.bm25_search(questions(spark, sf), R.bm25_index(table(spark, sf, "documents")))
+
+
+@query("dense_topk", sql("dx", "SELECT * FROM dx"))
+def dense_topk(spark, sf):
+    return R.dense_search(exemplar_queries(spark, sf), vector_docs(spark, sf))
+
+
+@query("dense_topk_filtered", sql("dq", "SELECT * FROM dq"))
+def dense_topk_filtered(spark, sf):
+    return R.dense_search(questions(spark, sf), corpus(spark, sf), filters={"doc_type": "en", "team": None})
+
+
+@query("l2_normalise", """
+SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS size_before,
+ round(list_sum(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))), 6) AS total_after
+FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (label + 1)) AS v FROM embeddings) s""")
+def l2_normalise(spark, sf):
+    scaled = table(spark, sf, "embeddings").withColumn("v", F.transform(Vx.doubles("embedding"), lambda x: x * (F.col("label") + 1)))
+    total = F.aggregate(Vx.l2norm("v"), F.lit(0.0), lambda s, x: s + x)
+    return scaled.select("vec_id", F.round(Vx.norm(F.col("v")), 6).alias("size_before"), F.round(total, 6).alias("total_after"))
+
+
+@query("int8_quantise", """
+WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127.0::DOUBLE
+  AS step FROM embeddings),
+c AS (SELECT vec_id, step, unnest(v) AS x FROM s)
+SELECT vec_id, round(MAX(step), 9) AS step, CAST(SUM(round_even(x / step, 0)) AS BIGINT) AS code_sum,
+ round(MAX(abs(x - round_even(x / step, 0) * step)), 9) AS max_error FROM c GROUP BY 1""")
+def int8_quantise(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", Vx.doubles("embedding").alias("v")).withColumn(
+        "step", Vx.int8_scale("v")).withColumn("q", Vx.int8_codes(F.col("v"), F.col("step")))
+    back = Vx.int8_decode(F.col("q"), F.col("step"))
+    error = F.array_max(F.zip_with("v", back, lambda a, b: F.abs(a - b)))
+    codes = F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+    return rows.select("vec_id", F.round("step", 9).alias("step"), codes.alias("code_sum"), F.round(error, 9).alias("max_error"))
+
+
+@query("rrf_hybrid", sql("fused", "SELECT * FROM fused"))
+def rrf_hybrid(spark, sf):
+    docs, asked = corpus(spark, sf), questions(spark, sf)
+    return R.retrieve(asked, docs, filters={"doc_type": "en"}, use_rerank=False)
+
+
+@query("rerank_topn", sql("rr", "SELECT query_id, doc_id, score, rank FROM rr WHERE rank <= 5"))
+def rerank_topn(spark, sf):
+    docs, asked = corpus(spark, sf), questions(spark, sf)
+    fused = R.retrieve(asked, docs, filters={"doc_type": "en"}, use_rerank=False)
+    return R.rerank(fused, asked, docs, n=5)
+
+
+@query("hybrid_retrieve", sql("rr", "SELECT * FROM rr"))
+def hybrid_retrieve(spark, sf):
+    return R.retrieve(questions(spark, sf), corpus(spark, sf), filters={"doc_type": "en"})
+
+
+add_block("sq", """
+sq AS (SELECT item_id * 1000 + i AS query_id, item_id, s[i] AS text FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) AS i
+  FROM (SELECT item_id, string_split(text, '. ') AS s FROM benchmark) a) b)""", [])
+bm25_blocks("s_", "documents", "doc_id", "sq", ["sq"], k=8)
+
+
+@query("rrf_multi", sql("s_hits", """
+SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+ FROM (SELECT query_id // 1000 AS query_id, doc_id, round(SUM(1.0::DOUBLE / (60 + rank)), 9) AS score FROM s_hits GROUP BY 1, 2) f) r
+WHERE rank <= 8"""))
+def rrf_multi(spark, sf):
+    """Every sentence of a benchmark text is a subquery of it."""
+    parts = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("i", "text"))
+    asked = parts.select((F.col("item_id") * 1000 + F.col("i") + 1).alias("query_id"), "text")
+    hits = R.bm25_search(asked, R.bm25_index(table(spark, sf, "documents")), 8)
+    return R.rrf_multi(hits.select(F.expr("query_id div 1000").alias("query_id"), "doc_id", "rank"))
+
+
+add_block("mq", """
+mq AS (SELECT concat(batter, ':', bowler) AS query_id, concat(batter, ' vs ', bowler, ' head to head performance') AS text,
+  batter, bowler FROM (SELECT DISTINCT batter, bowler FROM h) x)""", ["h"])
+bm25_blocks("p_", "pdocs", "doc_id", "mq", ["pdocs", "mq"])
+
+
+def matchup_contexts(spark, sf):
+    pairs = h2h_table(spark, sf).select("batter", "bowler").distinct()
+    docs = player_docs_table(spark, sf).withColumn("vector", F.lit(None).cast("array<float>"))
+    return R.matchup_context(pairs, docs), docs
+
+
+@query("matchup_context", sql("p_hits", """
+SELECT query_id, batter, bowler, doc_id, round(1.0::DOUBLE / (60 + rank), 9) AS score, rank FROM p_hits JOIN mq USING (query_id)
+WHERE rank <= 3"""))
+def matchup_context(spark, sf):
+    return matchup_contexts(spark, sf)[0].select("query_id", "batter", "bowler", "doc_id", "score", "rank")
+
+
+@query("context_blocks", sql("rr", """
+SELECT query_id, string_agg(concat('[SOURCE ', rank, ': ', upper(lang), ' – ', d.doc_id, ']', chr(10), substr(text, 1, 1200)),
+ concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank) AS context, COUNT(*) AS n_sources
+FROM rr JOIN documents d ON d.doc_id = rr.doc_id GROUP BY 1"""))
+def context_blocks(spark, sf):
+    docs = corpus(spark, sf)
+    return R.context_blocks(R.retrieve(questions(spark, sf), docs, filters={"doc_type": "en"}), docs)
+
+
+@query("ann_recall")
+def ann_recall(spark, sf):
+    asked, docs = exemplar_queries(spark, sf), vector_docs(spark, sf)
+    return R.recall(R.ann_search(asked, docs, DIM), R.dense_search(asked, docs, 10))
+
+
+add_block("rq", """
+rq AS (SELECT query_id, found, relevant, round(COALESCE(found / returned, 0.0), 6) AS precision_at_k,
+  round(COALESCE(found / relevant, 0.0), 6) AS recall_at_k FROM (
+ SELECT t.label AS query_id, COUNT(*) AS relevant,
+  CAST((SELECT COUNT(*) FROM dx JOIN embeddings e ON e.vec_id = dx.doc_id WHERE dx.query_id = t.label AND rank <= 10
+    AND e.label = t.label) AS BIGINT) AS found,
+  (SELECT COUNT(*) FROM dx WHERE dx.query_id = t.label AND rank <= 10) AS returned
+ FROM embeddings t GROUP BY 1) s)""", ["dx"])
+
+
+def quality_table(spark, sf):
+    truth = table(spark, sf, "embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("doc_id"))
+    hits = R.dense_search(exemplar_queries(spark, sf), vector_docs(spark, sf), 10)
+    return Qy.retrieval_quality(hits, truth, 10)
+
+
+@query("retrieval_quality", sql("rq", "SELECT * FROM rq"))
+def retrieval_quality(spark, sf):
+    return quality_table(spark, sf)
+
+
+@query("metric_gate", sql("rq", """
+SELECT metric, value, threshold, value >= threshold AS passed FROM (
+ SELECT 'context_precision' AS metric, round(AVG(precision_at_k), 6) AS value, 0.55::DOUBLE AS threshold FROM rq
+ UNION ALL SELECT 'context_recall', round(AVG(recall_at_k), 6), 0.55::DOUBLE FROM rq) s"""))
+def metric_gate(spark, sf):
+    means = quality_table(spark, sf).agg(
+        F.round(F.avg("precision_at_k"), 6).alias("context_precision"), F.round(F.avg("recall_at_k"), 6).alias("context_recall"))
+    metrics = means.unpivot([], ["context_precision", "context_recall"], "metric", "value")
+    thresholds = spark.createDataFrame([("context_precision", 0.55), ("context_recall", 0.55)], "metric string, threshold double")
+    return Qy.gate(metrics, thresholds)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 MATCHES = """
 m AS (
  SELECT CAST(o_orderkey // 50 AS BIGINT) AS id, CAST(year(o_orderdate) AS INT) AS season,
@@ -208,5 +206,4 @@ def sql(needs: str, body: str) -> str:
 
     for name in needs.split():
         visit(name)
-    text = "WITH " + ",".join(_BLOCKS[n][0].strip() for n in order) + "\n" + body.strip()
-    return re.sub(r"[ \t]+", " ", text)
+    return "WITH " + ",".join(_BLOCKS[n][0].strip() for n in order) + "\n" + body.strip()
