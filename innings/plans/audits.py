@@ -193,9 +193,8 @@ s AS (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL '30 minutes' AS session_end, COUNT(*) AS n
 FROM s GROUP BY user_id, sid""")
 def events_sessions(spark, sf):
-    from innings.streaming.live import sessions
+    from innings.operators.sessions import sessionize
 
-    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return sessions(events, "user_id", "ts", "30 minutes", [F.count(F.lit(1)).alias("n")]).select(
+    return sessionize(table(spark, sf, "events"), "user_id", "ts", 1800).select(
         "user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
         F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")

@@ -159,7 +159,9 @@ def int8_quantise(spark, sf):
     back = Vx.int8_decode(F.col("q"), F.col("step"))
     error = F.array_max(F.zip_with("v", back, lambda a, b: F.abs(a - b)))
     codes = F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
-    return rows.select("vec_id", F.round("step", 9).alias("step"), codes.alias("code_sum"), F.round(error, 9).alias("max_error"))
+    # The error first: a select that also renames ``step`` would feed the rounded step to the lambda.
+    return rows.withColumn("max_error", F.round(error, 9)).select(
+        "vec_id", F.round("step", 9).alias("step"), codes.alias("code_sum"), "max_error")
 
 
 @query("rrf_hybrid", sql("fused", "SELECT * FROM fused"))
