@@ -8,11 +8,11 @@ from innings.functions import vectors as Vx
 from innings.functions.text import SPACE_PATTERN, tokens
 from innings.operators import quality as Qy
 from innings.operators import retrieval as R
-from innings.plans.aggregates import h2h_table
 from innings.plans.registry import query
 from innings.plans.sql import add_block, sql
 from innings.plans.texts import player_docs_table
-from innings.sources.adapter import table
+from innings.session import spread, stored
+from innings.sources.adapter import deliveries, table
 
 DIM = 64
 N_LABELS = 10
@@ -112,7 +112,7 @@ WITH t AS ({_words('documents', 'doc_id', 'doc_id')})
 SELECT d.doc_id, COUNT(term) AS n_tokens, COUNT(DISTINCT term) AS n_distinct FROM documents d
 LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY 1""")
 def token_counts(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", tokens("text").alias("w"))
+    words = spread(table(spark, sf, "documents")).select("doc_id", tokens("text").alias("w"))
     return words.select("doc_id", F.size("w").cast("long").alias("n_tokens"),
                         F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
@@ -207,8 +207,8 @@ bm25_blocks("p_", "pdocs", "doc_id", "mq", ["pdocs", "mq"])
 
 
 def matchup_contexts(spark, sf):
-    pairs = h2h_table(spark, sf).select("batter", "bowler").distinct()
-    docs = player_docs_table(spark, sf).withColumn("vector", F.lit(None).cast("array<float>"))
+    pairs = deliveries(spark, sf).select("batter", "bowler").distinct()
+    docs = stored(player_docs_table(spark, sf), "player-docs").withColumn("vector", F.lit(None).cast("array<float>"))
     return R.matchup_context(pairs, docs), docs
 
 

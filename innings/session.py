@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "innings", shuffle_partitions: int = 8) -> SparkSession:
@@ -45,9 +46,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     return checkpoint_root._local
 
 
-def cut_lineage(df):
-    """Reliable checkpoint of ``df`` below :func:`checkpoint_root`."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint()
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below :func:`checkpoint_root`."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    Used where several steps read an expensive result: the work is done once,
+    lineage ends at the files, and a lost executor costs only a re-read.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions when the input has fewer splits than there are cores.
+
+    Only small inputs qualify; a large one has many splits and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
