@@ -86,10 +86,13 @@ def canonicalise_matches(df: DataFrame) -> DataFrame:
 
 
 def clean_matches(sources: list[DataFrame]) -> DataFrame:
-    df = union_sources(*[canonicalise_matches(s) for s in sources])
-    df = S.normalise_teams(df, ["team1", "team2", "winner", "toss_winner"])
-    df = S.with_defaults(S.with_season(df), MATCH_DEFAULTS)
-    df = df.withColumns({c: S.to_int0(F.col(c)) for c in ("target_runs", "win_by_runs", "win_by_wickets")})
+    """Typed matches of all sources, the last row per id; each source is typed before the union."""
+    numbers = ("target_runs", "win_by_runs", "win_by_wickets")
+    typed = []
+    for source in sources:
+        df = S.with_defaults(S.with_season(canonicalise_matches(source)), MATCH_DEFAULTS)
+        typed.append(df.withColumns({c: S.to_int0(F.col(c)) for c in numbers}).withColumn("id", F.col("id").cast("string")))
+    df = S.normalise_teams(union_sources(*typed), ["team1", "team2", "winner", "toss_winner"])
     return dedup_keep_last(df, ["id"], ["_source", "_pos"])
 
 
