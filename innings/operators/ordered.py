@@ -157,13 +157,12 @@ def last_n(df: DataFrame, partition: list[str], order: list[Column], n: int, ran
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
-def value_buckets(df: DataFrame, value: str, buckets: int = 4096) -> DataFrame:
-    """Adds ``_bucket``: an order-preserving slice of the value range."""
-    bounds = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    low, high = bounds.select("_lo").scalar(), bounds.select("_hi").scalar()
-    width = F.nullif(high - low, F.lit(0.0))
-    place = F.floor((F.col(value) - low) / width * buckets)
-    return df.withColumn("_bucket", F.least(F.coalesce(place, F.lit(0)), F.lit(buckets - 1)).cast("long"))
+def value_buckets(distinct: DataFrame, value: str, buckets: int = 128) -> DataFrame:
+    """Adds ``_bucket``: slices of the order with about equally many of the distinct values in each."""
+    cuts = distinct.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_c"))
+    placed = distinct.withColumn("_cuts", cuts.scalar())
+    below = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
+    return placed.withColumn("_bucket", below.cast("long")).drop("_cuts")
 
 
 def cumulative_by_value(df: DataFrame, value: str, counts: dict[str, Column]) -> DataFrame:
