@@ -22,6 +22,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from innings.session import stored
+
 CHUNK_BITS = 16  # positions of a hot match per chunk: 65,536
 BLOCK_BITS = 12  # matches per chunk when a group spans matches: 4,096
 HOT_ROWS = 1 << 20  # a match with fewer rows is never hot
@@ -157,22 +159,14 @@ def last_n(df: DataFrame, partition: list[str], order: list[Column], n: int, ran
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
-def value_buckets(distinct: DataFrame, value: str, buckets: int = 128) -> DataFrame:
-    """Adds ``_bucket``: slices of the order with about equally many of the distinct values in each."""
-    cuts = distinct.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_c"))
-    placed = distinct.withColumn("_cuts", cuts.scalar())
-    below = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
-    return placed.withColumn("_bucket", below.cast("long")).drop("_cuts")
-
-
 def cumulative_by_value(df: DataFrame, value: str, counts: dict[str, Column]) -> DataFrame:
     """Per distinct value: its counts, and the counts of all smaller values (``<name>_below``).
 
     Equal values collapse in a map-side aggregate first, so repeated values
-    cannot make a hot task; the order over distinct values is then chunked.
+    cannot make a hot task. The distinct values are then range-partitioned
+    (Spark samples the bounds) and stored, which fixes their partition.
     """
     per_value = df.groupBy(value).agg(*[F.sum(c).cast("long").alias(n) for n, c in counts.items()])
-    sliced = value_buckets(per_value, value)
-    below = running(sliced, [], [value], [["_bucket"]],
-                    {f"{n}_below": F.col(n) for n in counts}, prior=True)
+    placed = stored(per_value.repartitionByRange(value).withColumn("_bucket", F.spark_partition_id()), "by-value")
+    below = running(placed, [], [value], [["_bucket"]], {f"{n}_below": F.col(n) for n in counts}, prior=True)
     return below.drop("_bucket")

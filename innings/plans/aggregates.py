@@ -11,7 +11,7 @@ from innings.operators import questions as Q
 from innings.operators import teams as T
 from innings.operators import venue as V
 from innings.plans.registry import query
-from innings.plans.sql import OUT, isum, isum_if, r, sql
+from innings.plans.sql import isum, isum_if, r, sql
 from innings.sources.adapter import deliveries, matches, table
 
 

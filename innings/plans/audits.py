@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from innings.operators import audit as A
 from innings.operators import quality as Qy
-from innings.operators import windows as W
 from innings.operators.keyed import distinct_sorted
 from innings.plans.registry import query
 from innings.plans.sql import isum, isum_if, sql
