@@ -183,21 +183,22 @@ def hybrid_retrieve(spark, sf):
 
 
 add_block("sq", """
-sq AS (SELECT item_id * 1000 + i AS query_id, item_id, s[i] AS text FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) AS i
+sq AS (SELECT concat(item_id, ':', i) AS query_id, item_id, s[i] AS text FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) AS i
   FROM (SELECT item_id, string_split(text, '. ') AS s FROM benchmark) a) b)""", [])
 bm25_blocks("s_", "documents", "doc_id", "sq", ["sq"], k=8)
 
 
 @query("rrf_multi", sql("s_hits", """
 SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
- FROM (SELECT query_id // 1000 AS query_id, doc_id, round(SUM(1.0::DOUBLE / (60 + rank)), 9) AS score FROM s_hits GROUP BY 1, 2) f) r
+ FROM (SELECT CAST(split_part(query_id, ':', 1) AS BIGINT) AS query_id, doc_id, round(SUM(1.0::DOUBLE / (60 + rank)), 9) AS score FROM s_hits GROUP BY 1, 2) f) r
 WHERE rank <= 8"""))
 def rrf_multi(spark, sf):
     """Every sentence of a benchmark text is a subquery of it."""
     parts = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("i", "text"))
-    asked = parts.select((F.col("item_id") * 1000 + F.col("i") + 1).alias("query_id"), "text")
+    asked = parts.select(F.concat_ws(":", "item_id", F.col("i") + 1).alias("query_id"), "text")
     hits = R.bm25_search(asked, R.bm25_index(table(spark, sf, "documents")), 8)
-    return R.rrf_multi(hits.select(F.expr("query_id div 1000").alias("query_id"), "doc_id", "rank"))
+    item = F.split_part("query_id", F.lit(":"), F.lit(1)).cast("long")
+    return R.rrf_multi(hits.select(item.alias("query_id"), "doc_id", "rank"))
 
 
 add_block("mq", """

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from innings.sources import raw, tables
 from innings.sources.schemas import MATCHES, conform
 
+MAX_SOURCES = 127  # the source number takes the top byte of the load order
+
 
 def _in_load_order(df: DataFrame) -> DataFrame:
     """``seq`` from the load order: source first, then position in the source."""
@@ -30,6 +32,8 @@ def ingest(spark: SparkSession, folder: str, match_files: str | None = None,
         ball_sources.append(extra)
         index = raw.build_match_index(extra)
         match_sources.append(index.withColumns({"_source": F.lit(len(match_sources)), "_pos": F.lit(0).cast("long")}))
+    if len(ball_sources) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} delivery sources; put per-match files into one folder instead")
     matches = raw.numeric_key(raw.clean_matches(match_sources), "id")
     balls = _in_load_order(raw.numeric_key(raw.clean_deliveries(ball_sources), "match_id"))
     seasons = matches.select(F.col("id").alias("_id"), F.col("season").alias("_season"))
