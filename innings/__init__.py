@@ -1 +1,8 @@
 """Innings: ball-by-ball analytics and batch retrieval on Apache Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
