@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innings.llm import mixing, reputation, secrets, sharding
+from innings.llm import decontamination, mixing, reputation, secrets, sharding, substrings
 from innings.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +34,17 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_url_filter, op6_mix_sources, op7_shard)}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_secret_scan, op2_url_filter, op6_mix_sources, op7_shard, op8_decontaminate, op9_substring_dedup,
+)}
 
 #: SQL that gives the same rows.
 ORACLES: dict[str, str] = {}

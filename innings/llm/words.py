@@ -22,6 +22,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
+#: Also parted by every ASCII character but letters and digits.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 _LONG = 1 << 16  # a word beyond this many bytes is hashed on its own
 _BYTES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,12 +80,12 @@ class Words:
         return self.data[self.start[i]:self.end[i]].tobytes()
 
 
-def split(texts: pa.Array, lower: bool = True) -> Words:
-    """The words of a string column; a null text counts as empty."""
+def split(texts: pa.Array, lower: bool = True, gaps: np.ndarray = _SPACE) -> Words:
+    """The words of a string column; a null text counts as empty. ``gaps``: the bytes that part words."""
     data, bounds = utf8(texts)
     if lower:
         data = _LOWER[data]
-    gap = _SPACE[data]
+    gap = gaps[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     edge[-1] = True
@@ -119,16 +121,27 @@ def parts(batch: pa.RecordBatch, limit: int = 1 << 22, column: str = "text") ->
 
 
 def ngrams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``n`` words that stay in one document, and the index of the first word of each."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    """Hashes of all runs of ``n`` words that stay in one document, and the index of the first word of each.
+
+    Runs double in length: a run of a + b words comes from one of a and one of b.
+    """
     total = len(h) - n + 1
-    out = h[:total].copy()
-    for k in range(1, n):
-        out = out * _BASE + h[k:k + total]
-    whole = np.ones(total, bool)
-    for k in range(1, n):  # no document may begin inside the run
-        inner = first[1:-1] - k
-        whole[inner[(inner >= 0) & (inner < total)]] = False
-    at = np.flatnonzero(whole)
+    if total <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out, length, block, size = None, 0, h, 1
+    while True:
+        if n & size:
+            if out is None:
+                out, length = block, size
+            else:  # the part so far, then the block behind it
+                m = len(h) - length - size + 1
+                out = out[:m] * _POWERS[size] + block[length:length + m]
+                length += size
+        if size * 2 > n:
+            break
+        block = block[:len(block) - size] * _POWERS[size] + block[size:]
+        size *= 2
+    at = np.arange(total)
+    room = np.repeat(first[1:], np.diff(first))[:total] - at  # words left in the document
+    at = at[room >= n]
     return mix(out[at]), at
