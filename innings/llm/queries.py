@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innings.llm import decontamination, minhash, mixing, reputation, secrets, sharding, substrings
+from innings.llm import decontamination, minhash, mixing, reputation, secrets, sharding, spotsigs, substrings
 from innings.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,10 +46,16 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_secret_scan, op2_url_filter, op4_near_dedup, op6_mix_sources, op7_shard, op8_decontaminate,
-    op9_substring_dedup,
+    op9_substring_dedup, op10_fingerprints,
 )}
 
 #: SQL that gives the same rows.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_fingerprints": spotsigs.ORACLE,
+}
