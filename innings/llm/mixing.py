@@ -7,9 +7,9 @@ bucket its start, and a window inside a bucket adds the rest. A source takes
 whole epochs and then the documents up to its exact budget, the last one in
 part.
 
-No window sees more than one bucket of a source; the number of buckets
-follows the number of rows. Rows of the windows hold id, key and size, never
-texts. Only tables with a row per source or per bucket are joined back.
+A source of n rows has about sqrt(n) buckets of sqrt(n) rows, so no window
+sees more than that of a source, however large its share. Rows of the windows
+hold id, key and size, never texts. Only tables with a row per source or per bucket are joined back.
 
 Defined results: null text and null counts have size 0; a null source is a
 source of its own, last in order; rows with equal ids are told apart by their
@@ -24,9 +24,6 @@ from pyspark.sql import functions as F
 
 from innings.llm.tables import stored
 
-#: Rows that one window is meant to order.
-BUCKET_ROWS = 100_000
-
 
 def n_words(text: str | Column) -> Column:
     """Number of words of a text; the separators are squeezed rather than the words extracted."""
@@ -60,8 +57,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
                         F.least(F.col("most").cast("double"), F.col("weight") * F.col("level")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0,
-        bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0) -> DataFrame:
     """``doc_id, source, text`` to ``doc_id, size, source_size, target, taken`` (and source, epochs).
 
     ``taken`` counts words with repeats: whole epochs of the document plus
@@ -73,7 +69,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     rows = stored(rows, "mixing-rows")  # a number, a name and a key per document: the texts are read once
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     aims = targets(sizes, weights, most).withColumn(
-        "n_buckets", F.ceil(F.col("n_rows") / bucket_rows)).withColumn(
+        "n_buckets", F.ceil(F.sqrt("n_rows"))).withColumn(
         "budget", F.floor(F.col("target"))).withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0)
     ).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))

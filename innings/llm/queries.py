@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innings.llm import decontamination, minhash, mixing, reputation, secrets, sharding, spotsigs, substrings
+from innings.llm import decontamination, lm, minhash, mixing, reputation, secrets, sharding, spotsigs, substrings
 from innings.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.TRIPLES)
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -51,7 +55,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_secret_scan, op2_url_filter, op4_near_dedup, op6_mix_sources, op7_shard, op8_decontaminate,
+    op1_secret_scan, op2_url_filter, op4_near_dedup, op5_lm_scores, op6_mix_sources, op7_shard, op8_decontaminate,
     op9_substring_dedup, op10_fingerprints,
 )}
 
