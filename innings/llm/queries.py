@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innings.llm import decontamination, lm, minhash, mixing, reputation, secrets, sharding, spotsigs, substrings
+from innings.llm import decontamination, langid, lm, minhash, mixing, reputation, secrets, sharding, spotsigs, substrings
 from innings.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judge(table(spark, sf_dir, "pages"), outcomes)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.TRIPLES)
 
@@ -55,8 +59,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_secret_scan, op2_url_filter, op4_near_dedup, op5_lm_scores, op6_mix_sources, op7_shard, op8_decontaminate,
-    op9_substring_dedup, op10_fingerprints,
+    op1_secret_scan, op2_url_filter, op3_language_id, op4_near_dedup, op5_lm_scores, op6_mix_sources, op7_shard,
+    op8_decontaminate, op9_substring_dedup, op10_fingerprints,
 )}
 
 #: SQL that gives the same rows.
