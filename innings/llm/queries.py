@@ -62,8 +62,3 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_secret_scan, op2_url_filter, op3_language_id, op4_near_dedup, op5_lm_scores, op6_mix_sources, op7_shard,
     op8_decontaminate, op9_substring_dedup, op10_fingerprints,
 )}
-
-#: SQL that gives the same rows.
-ORACLES: dict[str, str] = {
-    "op10_fingerprints": spotsigs.ORACLE,
-}
