@@ -94,11 +94,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, a row for each epoch (the one cut at the budget stays whole)."""
+    """The rows of ``docs`` that the mix takes, a row for each epoch (the one cut at the budget stays whole).
+
+    A text without words is in no epoch.
+    """
     extra = F.when(F.col("taken") > F.col("epochs") * F.col("size"), 1).otherwise(0)
-    copies = mix(docs, **options).select(F.col("doc_id").alias("__mix_id"),
+    copies = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__mix_id"),
                                          (F.col("epochs") + extra).cast("int").alias("__mix_n"))
-    copies = copies.where("__mix_n > 0").groupBy("__mix_id").agg(F.max("__mix_n").alias("__mix_n"))
+    copies = copies.groupBy("__mix_id").agg(F.max("__mix_n").alias("__mix_n"))
     each = docs.join(copies, docs["doc_id"] == copies["__mix_id"])
     return each.select(*[docs[c] for c in docs.columns],
                        F.explode(F.sequence(F.lit(1), copies["__mix_n"])).alias("__mix_epoch")).drop("__mix_epoch")
