@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,12 +36,15 @@ def local_session(cores: str = "8", app: str = "innings", shuffle_partitions: in
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for tables that cut lineage.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without
-    that setting (tests, a laptop) falls back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session
+    (tests, a laptop) may do without and gets a temporary folder; elsewhere
+    executors could not see each other's files there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(checkpoint_root, "_local"):
         checkpoint_root._local = tempfile.mkdtemp(prefix="innings-")
     return checkpoint_root._local
@@ -60,12 +64,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """More partitions when the input has fewer splits than there are cores.
-
-    Only small inputs qualify; a large one has many splits and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

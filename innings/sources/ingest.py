@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from innings.operators.ordered import CHUNK_BITS
 from innings.sources import raw, tables
 from innings.sources.schemas import MATCHES, conform
 
-MAX_SOURCES = 127  # the source number takes the top byte of the load order
 
 
 def _in_load_order(df: DataFrame) -> DataFrame:
-    """``seq`` from the load order: source first, then position in the source."""
-    position = F.shiftleft(F.col("_source").cast("long"), 56) + F.col("_pos")
-    return df.withColumn("seq", F.coalesce(F.col("seq").cast("long"), position) if "seq" in df.columns else position)
+    """``seq``, 1 to n in each match, in load order: source first, then position in the source.
+
+    A match holds a few hundred balls; one with a large share of all rows is
+    numbered in slices of its positions.
+    """
+    order = ["_source", "_pos"]
+    cut = df.withColumn("_slice", F.struct(F.col("_source"), F.shiftright(F.col("_pos"), CHUNK_BITS)))
+    sizes = cut.groupBy("match_id", "_slice").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("match_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("match_id", "_slice", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("match_id", "_slice").orderBy(*order))
+    numbered = cut.withColumn("_in", inside).join(before, ["match_id", "_slice"])
+    return numbered.withColumn("seq", (F.col("_before") + F.col("_in")).cast("long")).drop("_slice", "_in", "_before")
 
 
 def ingest(spark: SparkSession, folder: str, match_files: str | None = None,
@@ -32,8 +42,6 @@ def ingest(spark: SparkSession, folder: str, match_files: str | None = None,
         ball_sources.append(extra)
         index = raw.build_match_index(extra)
         match_sources.append(index.withColumns({"_source": F.lit(len(match_sources)), "_pos": F.lit(0).cast("long")}))
-    if len(ball_sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} delivery sources; put per-match files into one folder instead")
     matches = raw.numeric_key(raw.clean_matches(match_sources), "id")
     balls = _in_load_order(raw.numeric_key(raw.clean_deliveries(ball_sources), "match_id"))
     seasons = matches.select(F.col("id").alias("_id"), F.col("season").alias("_season"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innings.functions import scalars as S
@@ -27,7 +27,6 @@ MATCH_DEFAULTS = {
     "target_runs": 0, "win_by_runs": 0, "win_by_wickets": 0, "player_of_match": None, "dl_applied": False,
     "city": None, "venue": None, "toss_decision": None,
 }
-MAX_LAYOUTS = 100  # distinct header lines in one folder of match files
 
 
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
@@ -48,19 +47,22 @@ def require_columns(df: DataFrame, cols: list[str]) -> bool:
     return set(cols) <= set(df.columns)
 
 
-def read_source(spark: SparkSession, path: str, number: int = 0) -> DataFrame:
-    """One CSV source as text columns, with missing spellings as null and the load order kept."""
-    raw = spark.read.option("header", True).option("multiLine", False).csv(path)
+def read_source(spark: SparkSession, path: str, number: int = 0, multi_line: bool = False) -> DataFrame:
+    """One CSV source as text columns, with missing spellings as null and the load order kept.
+
+    With ``multi_line`` quoted fields may hold line breaks; such a file cannot be read in parts.
+    """
+    raw = spark.read.option("header", True).option("multiLine", multi_line).csv(path)
     clean = raw.select(*[S.null_spellings_to_null(F.col(f"`{c}`")).alias(c.strip()) for c in raw.columns])
     return clean.withColumns({"_source": F.lit(number), "_pos": F.monotonically_increasing_id()})
 
 
-def read_raw(spark: SparkSession, pattern: str, kind: str) -> list[DataFrame]:
+def read_raw(spark: SparkSession, pattern: str, kind: str, multi_line: bool = False) -> list[DataFrame]:
     """Every file that matches, in name order; sources stay apart until their columns are canonical."""
     files = list_files(spark, pattern)
     if not files:
         raise FileNotFoundError(f"no {kind} files match {pattern}")
-    return [read_source(spark, f, i) for i, f in enumerate(files)]
+    return [read_source(spark, f, i, multi_line) for i, f in enumerate(files)]
 
 
 def _canonical(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
@@ -123,12 +125,14 @@ def since_year(df: DataFrame, col: str, year: int) -> DataFrame:
 def read_match_files(spark: SparkSession, folder: str) -> DataFrame:
     """One file per match, with facts in a companion ``*_info.csv`` or inline.
 
-    The whole folder is one text scan. Files are grouped by their header line,
-    so the plan grows with the number of layouts and not of files; layouts
-    that lack a required column are left out.
+    The whole folder is one text scan. Every ball meets the header line of its
+    own file, and a wanted column is looked up by its name there; so neither
+    the number of files nor of layouts changes the plan. Only the distinct
+    column names come to the driver. Files that lack a required column are
+    left out; of two columns of one name the first counts.
     """
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select(
-        "value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at")
+    lines = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(folder).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")
     ).withColumn("stem", F.regexp_replace("file", r"(_info)?\.csv$", ""))
     is_info = F.startswith(F.col("value"), F.lit("info,"))
     companion = F.endswith(F.col("file"), F.lit("_info.csv"))
@@ -142,27 +146,31 @@ def read_match_files(spark: SparkSession, folder: str) -> DataFrame:
     info = info.withColumnsRenamed({k: f"_info_{k}" for k in INFO_KEYS})
 
     balls = lines.filter(~is_info & ~companion)
-    heads = balls.groupBy("file").agg(F.min_by("value", "at").alias("head"), F.min("at").alias("first"))
-    layouts = [r["head"] for r in heads.select("head").distinct().limit(MAX_LAYOUTS + 1).collect()]
-    if len(layouts) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different header lines in {folder}")
-
-    frames = []
-    for head in sorted(layouts):
-        names = [c.strip().strip('"') for c in head.split(",")]
-        if not set(REQUIRED_BALL_COLUMNS) <= set(names):
-            continue
-        schema = ", ".join(f"`{n}` STRING" for n in names)
-        rows = balls.join(heads.filter(F.col("head") == head), "file").filter(F.col("at") > F.col("first"))
-        rows = rows.select("stem", (F.col("at") - F.col("first")).alias("seq"), F.from_csv("value", schema).alias("c"))
-        frame = rows.join(info, "stem", "left")
-        cells = [S.null_spellings_to_null(F.col(f"c.`{n}`")).alias(n) for n in names]
-        added = [F.col(f"_info_{k}").alias(k) for k in INFO_KEYS if k not in names]
-        key = [] if "match_id" in names else [F.col("stem").alias("match_id")]
-        frames.append(frame.select(*key, "seq", *cells, *added))
-    if not frames:
+    names = F.transform(F.split("head", ","), lambda c: F.trim(F.translate(c, '"', "")))
+    heads = balls.groupBy("file").agg(F.min_by("value", "at").alias("head"), F.min("at").alias("first")).select(
+        "file", "first", names.alias("names")).filter(
+        F.size(F.array_except(F.array(*map(F.lit, REQUIRED_BALL_COLUMNS)), "names")) == 0)
+    known = [r[0] for r in heads.select(F.explode("names")).distinct().collect()]
+    if not known:
         raise ValueError(f"no usable match files in {folder}")
-    return union_sources(*frames)
+    width = heads.agg(F.max(F.size("names"))).first()[0]
+    schema = ", ".join(f"c{i} STRING" for i in range(width))
+    rows = balls.join(heads, "file").filter(F.col("at") > F.col("first")).select(
+        "stem", (F.col("at") - F.col("first")).alias("seq"), "names", F.from_csv("value", schema).alias("c"))
+    rows = rows.select("stem", "seq", "names", F.array(*[F.col(f"c.c{i}") for i in range(width)]).alias("cells"))
+
+    def cell(name: str) -> Column:
+        return F.get("cells", F.array_position("names", F.lit(name)).cast("int") - 1)
+
+    cells = {n: S.null_spellings_to_null(cell(n)) for n in sorted(known)}
+    # A fact of the companion file stands in where the file has no such column at all.
+    for k in INFO_KEYS:
+        has = F.array_contains("names", F.lit(k))
+        cells[k] = F.when(has, cells[k]).otherwise(F.col(f"_info_{k}")) if k in cells else F.col(f"_info_{k}")
+    stem = F.regexp_extract("stem", r"([^/]*)$", 1)
+    own = F.array_contains("names", F.lit("match_id"))
+    cells["match_id"] = F.when(own, cells["match_id"]).otherwise(stem) if "match_id" in cells else stem
+    return rows.join(info, "stem", "left").select("seq", *[c.alias(n) for n, c in cells.items() if n])
 
 
 def build_match_index(deliveries: DataFrame, date: str = "start_date") -> DataFrame:

@@ -99,3 +99,20 @@ def conform(df, schema: T.StructType):
     return df.select(*[
         (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema
     ])
+
+
+def declared(df, schema: T.StructType):
+    """The columns that the schema knows in their declared types, the others as they are; what can't be read is null.
+
+    Text that holds a whole number with decimals (``1.0``) is read as that number.
+    """
+    from pyspark.sql import functions as F
+
+    def typed(name: str, kind: T.DataType):
+        col = F.col(f"`{name}`")
+        if isinstance(kind, T.IntegralType) and not isinstance(df.schema[name].dataType, T.IntegralType):
+            col = col.cast("string").try_cast("double")
+        return col.try_cast(kind).alias(name)
+
+    kinds = {f.name: f.dataType for f in schema}
+    return df.select(*[typed(c, kinds[c]) if c in kinds else F.col(f"`{c}`") for c in df.columns])

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from innings.sources import schemas
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Overwrite; with partition columns only the partitions present in ``df`` are replaced.
+def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, only_present: bool = True) -> None:
+    """Overwrite; with partition columns and ``only_present`` just the partitions that ``df`` has are replaced.
 
     Rows are clustered by partition value first and adaptive execution splits
     large partitions, so a season neither turns into many small files nor
@@ -17,7 +17,8 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     """
     if partition_by:
         df = df.hint("rebalance", *[F.col(c) for c in partition_by])
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    mode = "dynamic" if partition_by and only_present else "static"
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
@@ -32,12 +33,16 @@ def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def replace_tables(root: str, matches: DataFrame, deliveries: DataFrame) -> dict[str, list[str]]:
-    """Store both base tables anew; returns the dropped columns of each."""
+    """Store both base tables anew, in their declared types; returns the dropped columns of each.
+
+    Nothing of an earlier load stays, vanished seasons included.
+    """
     dropped = {}
     for name, df in (("deliveries", deliveries), ("matches", matches)):
         known, dropped[name] = project_known(df, schemas.SCHEMAS[name].names)
+        known = schemas.declared(known, schemas.SCHEMAS[name])
         by = ["season"] if name == "deliveries" and "season" in known.columns else None
-        write_table(known, f"{root.rstrip('/')}/{name}", by)
+        write_table(known, f"{root.rstrip('/')}/{name}", by, only_present=False)
     return dropped
 
 

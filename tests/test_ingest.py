@@ -112,3 +112,42 @@ def test_missing_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         raw.read_raw(spark, f"{tmp_path}/*matches*.csv", "match")
     assert not raw.require_columns(spark.range(1), ["innings"])
+
+
+def test_reload_drops_vanished_seasons_and_keeps_types(spark, tmp_path):
+    """Extras arrive as text with decimals; a second load leaves nothing of the first."""
+    raw_dir, out = tmp_path / "raw", str(tmp_path / "out")
+    raw_dir.mkdir()
+    (raw_dir / "matches.csv").write_text("id,date,team1,team2\n1,2001-04-01,A,B\n2,2002-04-01,A,B\n")
+    head = "match_id,inning,over,ball,batter,bowler,batsman_runs,extra_runs,wides,noballs,byes,legbyes,penalty\n"
+    (raw_dir / "deliveries.csv").write_text(head + "1,1,0,1,P,Q,1,1,1,,,,\n2,1,0,1,P,Q,0,2,1.0,0,x,1,\n2,1,0,2,P,Q,4,0,,,,,\n")
+    ingest.build(spark, str(raw_dir), out)
+    got = tables.load_table(spark, f"{out}/deliveries", "deliveries").orderBy("match_id", "seq").collect()
+    assert [(r["match_id"], r["seq"], r["wides"], r["byes"], r["legbyes"]) for r in got] == [
+        (1, 1, 1, None, None), (2, 1, 1, None, 1), (2, 2, None, None, None)]
+    (raw_dir / "matches.csv").write_text("id,date,team1,team2\n2,2002-04-01,A,B\n")
+    (raw_dir / "deliveries.csv").write_text(head + "2,1,0,1,P,Q,0,2,1,0,0,1,\n")
+    ingest.build(spark, str(raw_dir), out)
+    assert [r["season"] for r in tables.load_table(spark, f"{out}/deliveries", "deliveries").collect()] == [2002]
+    assert tables.load_table(spark, f"{out}/matches", "matches").count() == 1
+
+
+def test_many_layouts_and_equal_file_names(spark, tmp_path):
+    for i in range(150):
+        folder = tmp_path / "games" / f"y{i % 3}"
+        folder.mkdir(parents=True, exist_ok=True)
+        name = folder / f"{i // 3}.csv"  # every name occurs in three folders
+        name.write_text(f"match_id,innings,ball,batting_team,bowling_team,striker,own{i}\n{i},1,0.1,A,B,S{i},v{i}\n")
+        (folder / f"{i // 3}_info.csv").write_text(f"info,winner,W{i}\n")
+    got = {r["match_id"]: r for r in raw.read_match_files(spark, str(tmp_path / "games")).collect()}
+    assert len(got) == 150
+    assert all((r["striker"], r["winner"], r[f"own{i}"]) == (f"S{i}", f"W{i}", f"v{i}") for i, r in got.items())
+
+
+def test_many_sources_are_numbered_per_match(spark, tmp_path):
+    (tmp_path / "matches.csv").write_text("id,date\n1,2001-04-01\n")
+    for i in range(130):
+        (tmp_path / f"deliveries_{i:03d}.csv").write_text(f"match_id,inning,over,ball,batter\n1,1,0,{i},B{i}\n{i + 5},1,0,1,X\n")
+    _, balls = ingest.ingest(spark, str(tmp_path))
+    rows = balls.where("match_id = 1 and batter <> 'X'").select("seq", "batter").collect()
+    assert {r["batter"]: r["seq"] for r in rows} == {f"B{i}": i + 1 for i in range(130)}
