@@ -210,7 +210,7 @@ def _cut(rows: DataFrame, size: int) -> DataFrame:
                 names=["content", "n_removed", "kept_sha256"])
 
     return rows.select("content", "text", "starts").mapInArrow(
-        run, "content binary, n_removed long, kept_sha256 string")
+        run, "content binary, n_removed long, kept_sha256 string").dropDuplicates(["content"])
 
 
 def repeated_windows(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -224,14 +224,16 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS)
         (F.col("low") < F.col("high")) | (F.col("key") == 0)).select("key")
     chosen = filed.join(shared, "key").groupBy("content", "rep").agg(F.collect_list("key").alias("shared"))
     parsed = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep"), "text").join(chosen, "rep")
-    parsed = stored(windows(parsed, size, rounds).dropDuplicates(["content"]), "substring-windows")
+    parsed = stored(windows(parsed, size, rounds), "substring-windows")
     each = parsed.select("content", "rep", F.explode(F.arrays_zip("starts", "hashes", "names")).alias("w")).select(
         "content", "rep", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"),
         F.col("w.names").alias("name"))
     smallest = each.groupBy("hash", "name").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where(
         F.col("low") < F.col("high")).select("hash", "name", "low")
+    # Written, so that both sides of the join come from plain exchanges and a hot window can be split.
+    smallest = stored(smallest, "substring-smallest")
     found = each.join(smallest, ["hash", "name"]).where(F.col("rep") > F.col("low"))
-    starts = found.groupBy("content").agg(F.collect_list("start").alias("starts"))
+    starts = found.groupBy("content").agg(F.collect_set("start").alias("starts"))
     return post, parsed.select("content", "text").join(starts, "content")
 
 
