@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from innings.functions.scalars import parse_date
 
+# The columns whose nulls are reported.
 CRITICAL_MATCH_COLS = ["id", "season", "team1", "team2", "winner", "venue", "date"]
 CRITICAL_DELIVERY_COLS = [
     "match_id", "inning", "over", "ball", "batter", "bowler", "batsman_runs", "total_runs", "dismissal_kind",
@@ -65,13 +66,14 @@ def audit_counts(deliveries: DataFrame) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, key: list[str], n: int = 50_000, seed: int = 42) -> DataFrame:
-    """The ``n`` rows with the smallest seeded hash of the key; the same rows on every run.
+    """The ``n`` rows with the smallest seeded digest of the key; the same rows on every run.
 
-    A count per slice of the hash range finds the slices that hold the first
+    A count per slice of the digests finds the slices that hold the first
     ``n`` rows, so only about that many rows are sorted, however large the
     table is.
     """
-    hashed = df.withColumn("_h", F.xxhash64(*key, F.lit(seed))).withColumn("_slice", F.shiftright("_h", 48))
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+    hashed = df.withColumn("_h", digest).withColumn("_slice", F.substring("_h", 1, 4))
     counts = hashed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))  # at most 65,536 rows
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     needed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < n)
@@ -80,15 +82,25 @@ def bounded_sample(df: DataFrame, key: list[str], n: int = 50_000, seed: int = 4
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """One row per column: counts, distinct values and, for numbers, range, mean and deviation."""
+    """One row per column: counts, distinct values and, for numbers, range, mean and deviation.
+
+    Each column is read on its own and counted per value with map-side parts,
+    so no row is turned into cells.
+    """
     numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in df.columns])
-    values = df.select(F.explode(cells).alias("c")).groupBy("c.column_name", "c.v").agg(F.count(F.lit(1)).alias("n"))
-    counts = values.groupBy("column_name").agg(
-        F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-        F.count("v").alias("n_distinct"),
-    )
+    parts = []
+    for c in df.columns:
+        per_value = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(per_value.agg(
+            F.lit(c).alias("column_name"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+            F.count("v").alias("n_distinct")))
+    counts = parts[0]
+    for p in parts[1:]:
+        counts = counts.unionByName(p)
+    if not numeric:
+        none = F.lit(None).cast("double")
+        return counts.withColumns({c: none for c in ("min_value", "max_value", "mean_value", "std_value")})
     stats = df.agg(*[
         F.struct(
             F.min(c).cast("double").alias("min_value"), F.max(c).cast("double").alias("max_value"),
@@ -99,22 +111,49 @@ def column_profile(df: DataFrame) -> DataFrame:
     return counts.join(tall, "column_name", "left")
 
 
+def _issues(one_row: DataFrame, entries: list[tuple[str, Column, Column]]) -> DataFrame:
+    """(check, subject, value) rows from the columns of a one-row aggregate."""
+    rows = F.array(*[F.struct(F.lit(check).alias("check_name"), subject.cast("string").alias("subject"),
+                              value.cast("long").alias("value")) for check, subject, value in entries])
+    return one_row.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def audit_report(matches: DataFrame, deliveries: DataFrame) -> DataFrame:
-    """All checks as (check, subject, value)."""
-    def issue(df: DataFrame, check: str, subject, value) -> DataFrame:
-        return df.select(F.lit(check).alias("check_name"), subject.cast("string").alias("subject"),
-                         value.cast("long").alias("value"))
+    """All checks as (check, subject, value), from one aggregate over each table.
+
+    Seasons and known variants are sets of bounded size.
+    """
+    year = F.year(parse_date(F.col("date"))) if "date" in matches.columns else F.lit(None).cast("int")
+    season = F.coalesce(F.col("season").cast("int"), year) if "season" in matches.columns else year
+    m_cols = [c for c in CRITICAL_MATCH_COLS if c in matches.columns]
+    d_cols = [c for c in CRITICAL_DELIVERY_COLS if c in deliveries.columns]
+    batter = "batter" if "batter" in deliveries.columns else "batsman"
+    known = [F.collect_set(F.when(F.col(t).isin(KNOWN_TEAM_VARIANTS), F.col(t))) for t in ("team1", "team2")]
+    m = matches.agg(
+        *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in m_cols],
+        # A null key counts as a key.
+        (F.count(F.lit(1)) - F.count_distinct("id") - F.coalesce(F.max(F.col("id").isNull().cast("int")), F.lit(0)))
+        .alias("duplicates"),
+        F.array_union(*known).alias("variants"), F.collect_set(season).alias("seasons"))
+    d = deliveries.agg(
+        *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in d_cols], F.count(F.lit(1)).alias("total"),
+        F.count_distinct(batter).alias("batters"), F.count_if(F.col("total_runs") > 7).alias("outliers"))
+
+    def nulls(row: DataFrame, check: str, cols: list[str]) -> DataFrame:
+        return _issues(row, [(check, F.lit(c), F.col(f"nulls_{c}")) for c in cols]).where("value > 0")
+
+    def listed(check: str, values: str) -> DataFrame:
+        each = m.select(F.explode(values).alias("v"))
+        return each.select(F.lit(check).alias("check_name"), F.col("v").cast("string").alias("subject"),
+                           F.lit(1).cast("long").alias("value"))
 
-    one = F.lit(1)
     parts = [
-        issue(audit_nulls(matches, CRITICAL_MATCH_COLS), "match_nulls", F.col("column_name"), F.col("nulls")),
-        issue(audit_duplicates(matches, ["id"]), "match_duplicate_ids", F.lit("id"), F.col("duplicates")),
-        issue(team_variants(matches), "team_name_variant", F.col("name"), one),
-        issue(coverage(matches), "season_covered", F.col("season"), one),
-        issue(audit_nulls(deliveries, CRITICAL_DELIVERY_COLS), "delivery_nulls", F.col("column_name"), F.col("nulls")),
-        issue(audit_counts(deliveries), "total_deliveries", F.lit("deliveries"), F.col("total_deliveries")),
-        issue(audit_counts(deliveries), "unique_batters", F.lit("batter"), F.col("unique_batters")),
-        issue(audit_outliers(deliveries), "runs_above_7", F.lit("total_runs"), F.col("outliers")),
+        nulls(m, "match_nulls", m_cols), _issues(m, [("match_duplicate_ids", F.lit("id"), F.col("duplicates"))]),
+        listed("team_name_variant", "variants"), listed("season_covered", "seasons"),
+        nulls(d, "delivery_nulls", d_cols),
+        _issues(d, [("total_deliveries", F.lit("deliveries"), F.col("total")),
+                    ("unique_batters", F.lit("batter"), F.col("batters")),
+                    ("runs_above_7", F.lit("total_runs"), F.col("outliers"))]),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -33,40 +33,56 @@ def with_match(deliveries: DataFrame, matches: DataFrame, cols: tuple[str, ...]
     return kept.join(side, kept.match_id == side._id).drop("_id")
 
 
+def batting_fold(deliveries: DataFrame) -> DataFrame:
+    """A row per match, batter and phase: what careers need of the balls, before anything is joined."""
+    return deliveries.filter(F.col("batter").isNotNull()).groupBy(
+        "match_id", F.col("batter").alias("player"), "phase").agg(
+        F.sum("batsman_runs").alias("runs"), F.count(F.lit(1)).alias("balls"),
+        count_if(_own_dismissal()).alias("outs"), count_if(_batting_dot()).alias("dots"))
+
+
+def bowling_fold(deliveries: DataFrame, not_credited=NOT_CREDITED) -> DataFrame:
+    """A row per match, bowler and phase."""
+    credited = F.col("dismissal_kind").isNotNull() & ~F.col("dismissal_kind").isin(list(not_credited))
+    return deliveries.filter(F.col("bowler").isNotNull()).groupBy(
+        "match_id", F.col("bowler").alias("player"), "phase").agg(
+        F.sum("total_runs").alias("runs"), F.count(F.lit(1)).alias("balls"), count_if(credited).alias("wickets"),
+        count_if(F.col("total_runs") == 0).alias("dots"))
+
+
 def batting_career(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
-    balls = F.count(F.lit(1))
-    runs = F.sum("batsman_runs")
+    """The fold has one row per match, so its rows are the innings."""
+    balls, runs = F.sum("balls"), F.sum("runs")
     return (
-        with_match(deliveries.filter(F.col("batter").isNotNull()), matches)
-        .groupBy(F.col("batter").alias("player"), "season", F.lit("batsman").alias("role"), "phase")
+        with_match(batting_fold(deliveries), matches)
+        .groupBy("player", "season", F.lit("batsman").alias("role"), "phase")
         .agg(
-            F.count_distinct("match_id").alias("innings"),
+            F.count("match_id").alias("innings"),
             runs.alias("runs"),
             balls.alias("balls_faced"),
             pct(runs, balls).alias("strike_rate"),
-            ratio(runs, count_if(_own_dismissal())).alias("average"),
+            ratio(runs, F.sum("outs")).alias("average"),
             F.lit(0).cast("long").alias("wickets"),
             F.lit(0.0).alias("economy"),
-            pct(count_if(_batting_dot()), balls).alias("dot_pct"),
+            pct(F.sum("dots"), balls).alias("dot_pct"),
         )
     )
 
 
 def bowling_career(deliveries: DataFrame, matches: DataFrame, not_credited=NOT_CREDITED) -> DataFrame:
-    balls = F.count(F.lit(1))
-    credited = F.col("dismissal_kind").isNotNull() & ~F.col("dismissal_kind").isin(list(not_credited))
+    balls = F.sum("balls")
     return (
-        with_match(deliveries.filter(F.col("bowler").isNotNull()), matches)
-        .groupBy(F.col("bowler").alias("player"), "season", F.lit("bowler").alias("role"), "phase")
+        with_match(bowling_fold(deliveries, not_credited), matches)
+        .groupBy("player", "season", F.lit("bowler").alias("role"), "phase")
         .agg(
-            F.count_distinct("match_id").alias("innings"),
+            F.count("match_id").alias("innings"),
             F.lit(0).cast("long").alias("runs"),
             F.lit(0).cast("long").alias("balls_faced"),
             F.lit(0.0).alias("strike_rate"),
             F.lit(0.0).alias("average"),
-            count_if(credited).alias("wickets"),
-            ratio(F.sum("total_runs"), balls, 6).alias("economy"),
-            pct(count_if(F.col("total_runs") == 0), balls).alias("dot_pct"),
+            F.sum("wickets").alias("wickets"),
+            ratio(F.sum("runs"), balls, 6).alias("economy"),
+            pct(F.sum("dots"), balls).alias("dot_pct"),
         )
     )
 

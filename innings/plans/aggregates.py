@@ -48,11 +48,9 @@ SELECT batter AS player, m.season, phase, COUNT(*) AS balls, {isum('batsman_runs
 FROM d JOIN m ON m.id = d.match_id GROUP BY GROUPING SETS ((1, 2, 3), (1, 2), (1))"""))
 def career_rollup(spark, sf):
     """Batting totals per phase, per season and over a career in one pass."""
-    balls = F.count(F.lit(1))
-    runs = F.sum("batsman_runs")
+    balls, runs = F.sum("balls"), F.sum("runs")
     return (
-        C.with_match(deliveries(spark, sf), matches(spark, sf))
-        .withColumnRenamed("batter", "player")
+        C.with_match(C.batting_fold(deliveries(spark, sf)), matches(spark, sf))
         .groupingSets([["player", "season", "phase"], ["player", "season"], ["player"]], "player", "season", "phase")
         .agg(balls.alias("balls"), runs.alias("runs"), S.pct(runs, balls).alias("strike_rate"))
     )

@@ -69,9 +69,14 @@ def audit_counts(spark, sf):
     return A.audit_counts(deliveries(spark, sf))
 
 
-@query("audit_sample")
+_SAMPLE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("audit_sample", f"""
+SELECT * FROM lineitem ORDER BY md5(concat_ws('|', {', '.join(_SAMPLE_KEY)}, '42')), {', '.join(_SAMPLE_KEY)} LIMIT 50000""")
 def audit_sample(spark, sf):
-    return A.bounded_sample(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    rows = table(spark, sf, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
+    return A.bounded_sample(rows, _SAMPLE_KEY)
 
 
 def _profile(col: str, numeric: bool = True) -> str:
@@ -82,13 +87,17 @@ def _profile(col: str, numeric: bool = True) -> str:
             f"COUNT(DISTINCT {col}) AS n_distinct, {stats} FROM src")
 
 
-@query("column_profile", "WITH src AS (SELECT l_linenumber, l_quantity, l_discount, l_returnflag, l_linestatus, l_shipdate "
-       "FROM lineitem) " + " UNION ALL ".join([
-           _profile("l_linenumber"), _profile("l_quantity"), _profile("l_discount"), _profile("l_returnflag", False),
-           _profile("l_linestatus", False), _profile("l_shipdate", False)]))
+_LINEITEM = {
+    "l_orderkey": True, "l_partkey": True, "l_suppkey": True, "l_linenumber": True, "l_quantity": True,
+    "l_extendedprice": True, "l_discount": True, "l_tax": True, "l_returnflag": False, "l_linestatus": False,
+    "l_shipdate": False,
+}
+
+
+@query("column_profile", "WITH src AS (SELECT * FROM lineitem) " + " UNION ALL ".join(
+    _profile(c, numeric) for c, numeric in _LINEITEM.items()))
 def column_profile(spark, sf):
-    return A.column_profile(table(spark, sf, "lineitem").select(
-        "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"))
+    return A.column_profile(table(spark, sf, "lineitem"))
 
 
 @query("audit_report", sql("m d", _OLD_NAMES + f"""

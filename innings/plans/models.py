@@ -33,10 +33,12 @@ def intent_rows(spark, sf):
 
 @query("win_model")
 def win_model(spark, sf):
-    """Cross-validated and hold-out AUC of the chosen settings."""
+    """Cross-validated AUC of the chosen settings, and hold-out AUC of their calibrated probabilities."""
     train, test = win_rows(spark, sf)
     model, best = M.train_win_model(train, WIN_GRID, folds=2)
-    auc = Qy.auc_rank(M.score(model, test, X.WIN_FEATURES), "score", "label")
+    calibration = M.calibrate(M.out_of_fold_scores(train, best["params"]))
+    scored = M.calibrated(calibration, M.score(model, test, X.WIN_FEATURES))
+    auc = Qy.auc_rank(scored.drop("score"), "calibrated", "label")
     return auc.withColumns({"cv_auc": F.lit(round(best["score"], 6)), "max_depth": F.lit(best["params"]["maxDepth"])})
 
 
@@ -44,7 +46,7 @@ def win_model(spark, sf):
 def win_calibration(spark, sf):
     """Raw against calibrated probability in tenths of the score."""
     train, _ = win_rows(spark, sf)
-    scores = M.out_of_fold_scores(train, WIN_POINT, folds=2)
+    scores = M.out_of_fold_scores(train, WIN_POINT)
     both = M.calibrated(M.calibrate(scores), scores)
     return both.groupBy(F.floor(F.col("score") * 10).alias("tenth")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean_score"),
@@ -59,7 +61,8 @@ def _requests(spark, sf):
 def win_predictions(spark, sf):
     train, _ = win_rows(spark, sf)
     model, _ = M.train_win_model(train, [WIN_POINT], folds=2)
-    return M.predict_win(model, _requests(spark, sf)).select(
+    calibration = M.calibrate(M.out_of_fold_scores(train, WIN_POINT))
+    return M.predict_win(model, _requests(spark, sf), calibration).select(
         "request_id", "team1", "team2", "team1_win_prob", "team2_win_prob")
 
 
