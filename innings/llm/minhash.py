@@ -10,16 +10,18 @@ signature (the rest of the merge is skipped for all others), and pairs at or
 above ``least`` are confirmed on the full sets.
 
 A posting may hold a third of all classes, so pairs inside it are not all
-formed. First every class meets the smallest one of each of its postings;
-confirmed links give components. Then only classes of different components
-that share a posting meet, and the members of the posting's largest component
-do not meet each other. A group of thousands of near copies is linked by its
-first member and leaves nothing for the second step.
+formed. A group of a few classes forms its pairs; in a larger one every class
+meets the smallest id, and confirmed links give components. Thousands of near
+copies of a text are mostly one component then. Classes whose posting is still
+apart meet by their sets: ordered by rarity, two similar sets share a shingle
+early in both, and members of one component need not meet. This finds every
+similar pair of theirs, so nothing is lost to the first step.
 
 Defined results: a text of fewer than ``n`` words is one shingle, a text
-without words (or null) has an empty set and stays alone; rows that share an
-id count as linked; a row with a null id links with nothing and is kept;
-repeated rows give repeated results.
+without words (or null) has an empty set and stays alone; a row with a null
+id links with nothing and is kept; repeated rows give repeated results; rows
+of one id and different texts go each by its own text, but texts that have the
+same smallest id count as one.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ class Settings:
     percent: int = 80  # least similarity, intersection over union
     coordinates: int = 48
     least: int = 25  # collisions of a candidate pair
+    few: int = 4  # a group of no more members has all its pairs formed
     seed: int = 1
 
 
@@ -151,31 +154,62 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, s: Settings
     return pairs.where(shared * 100 >= union * s.percent).select("a", "b")
 
 
+def _by_shingles(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Pairs ``a, b`` of ``id, component`` in different components that share a rare enough shingle.
+
+    All sets are ordered by how many members have a shingle. If the first
+    shingle that two sets share is the i-th of one and the j-th of the other,
+    they share at most what follows; so a similar pair has it early in both.
+    """
+    each = members.join(sets, "id").select("id", "component", F.size("shingles").alias("n"),
+                                           F.explode("shingles").alias("g"))
+    each = stored(each, "minhash-shingles")
+    common = stored(each.groupBy("g").agg(
+        F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")), "minhash-df")
+    order = Window.partitionBy("id").orderBy("df", "g")
+    # What is left from the shingle on must reach the overlap with the smallest partner.
+    left = F.col("n") - F.row_number().over(order) + 1
+    least = F.ceil(F.col("n") * s.percent / 100)
+    early = each.join(common, "g").withColumn("left", left).where(
+        (F.col("left") * (100 + s.percent) >= (F.col("n") + least) * s.percent) & (F.col("low") < F.col("high"))
+    ).select("g", "id", "component", "n", "left")
+    early = stored(early, "minhash-early")
+    held = early.groupBy("g", "component").agg(F.count("*").alias("m")).groupBy("g").agg(
+        F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("largest")).where("parts > 1").select(
+        "g", F.col("largest.component").alias("largest"))
+    early = stored(early.join(held, "g"), "minhash-early")
+    # Members of the largest component of a shingle do not meet each other, and of two others each pair forms once.
+    x, y = early.alias("x"), early.where("component <> largest").alias("y")
+    reach = F.least(F.col("x.left"), F.col("y.left")) * (100 + s.percent) >= (F.col("x.n") + F.col("y.n")) * s.percent
+    return x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.component") != F.col("y.component")) & reach
+                  & ((F.col("x.component") == F.col("x.largest")) | (F.col("x.id") < F.col("y.id")))
+                  & _sizes_allow(F.col("x.n"), F.col("y.n"), s.percent)).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
 def links(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     """Confirmed edges ``a, b`` that connect all similar classes (not every similar pair)."""
     posts = stored(prefix_postings(classes, s), "minhash-postings")
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(posts.select("id").distinct(), "id", "left_semi")
     sets = stored(full_sets(texts, s).dropDuplicates(["id"]), "minhash-sets")
-    hub = posts.groupBy("posting").agg(F.min(F.struct("id", "n")).alias("hub"))
-    first = posts.join(hub, "posting").where(_sizes_allow(F.col("n"), F.col("hub.n"), s.percent)).select(
-        F.col("hub.id").alias("a"), F.col("id").alias("b"))
-    found = stored(confirmed(first, classes, sets, s), "minhash-links")
-    parts_ = components(found)
-    named = posts.join(parts_, posts["id"] == parts_["node"], "left").select(
-        "posting", "id", "n", F.coalesce("component", "id").alias("component"))
+    heads = posts.groupBy("posting").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("hub")).where("m > 1")
+    # Written, so that both sides of the join come from plain exchanges and a hot posting can be split.
+    posts = stored(posts.join(stored(heads, "minhash-heads"), "posting"), "minhash-grouped")
+    few, many = posts.where(F.col("m") <= s.few), posts.where(F.col("m") > s.few)
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, (F.col("x.posting") == F.col("y.posting")) & (F.col("x.id") < F.col("y.id"))).select(
+        F.col("x.id").alias("a"), F.col("x.n").alias("n_a"), F.col("y.id").alias("b"), F.col("y.n").alias("n_b"))
+    stars = many.select(F.col("hub.id").alias("a"), F.col("hub.n").alias("n_a"), F.col("id").alias("b"),
+                        F.col("n").alias("n_b"))
+    pairs = pairs.unionByName(stars).where(_sizes_allow(F.col("n_a"), F.col("n_b"), s.percent))
+    found = stored(confirmed(pairs, classes, sets, s), "minhash-links")
+    named = many.join(components(found), F.col("id") == F.col("node"), "left").select(
+        "posting", "id", F.coalesce("component", "id").alias("component"))
     named = stored(named, "minhash-named")
-    held = named.groupBy("posting", "component").agg(F.count("*").alias("m"))
-    open_ = held.groupBy("posting").agg(
-        F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("largest")).where("parts > 1").select(
-        "posting", F.col("largest.component").alias("largest"))
-    rest = named.join(open_, "posting")
-    a, b = rest.alias("a"), rest.where("component <> largest").alias("b")
-    # Of two classes outside the largest component only the smaller id is on the left.
-    second = a.join(b, (F.col("a.posting") == F.col("b.posting")) & (F.col("a.component") != F.col("b.component"))
-                    & ((F.col("a.component") == F.col("a.largest")) | (F.col("a.id") < F.col("b.id")))
-                    & _sizes_allow(F.col("a.n"), F.col("b.n"), s.percent)).select(
-        F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    return found.unionByName(confirmed(second, classes, sets, s))
+    apart = stored(named.groupBy("posting").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
+        "low < high").select("posting"), "minhash-apart")
+    members = named.join(apart, "posting").select("id", "component").distinct()
+    return found.unionByName(confirmed(_by_shingles(members, sets, s), classes, sets, s))
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
