@@ -10,12 +10,13 @@ from innings.operators import quality as Qy
 from innings.operators import retrieval as R
 from innings.plans.registry import query
 from innings.plans.sql import add_block, sql
-from innings.plans.texts import player_docs_table
+from innings.plans.texts import doc_corpus
 from innings.session import stored
 from innings.sources.adapter import deliveries, table
 
 DIM = 64
 N_LABELS = 10
+N_VECTORS = 500  # ids from 0 on, present at every scale
 
 
 def corpus(spark, sf):
@@ -41,6 +42,18 @@ def exemplar_queries(spark, sf):
     return label_vectors(spark, sf).select(F.col("label").alias("query_id"), "vector")
 
 
+def vector_queries(spark, sf):
+    """Every vector whose id is divisible by 100 asks against all."""
+    return vector_docs(spark, sf).where(F.col("doc_id") % 100 == 0).withColumnRenamed("doc_id", "query_id")
+
+
+def keyed_vectors(spark, sf, rows, key):
+    """A vector for rows without one of their own, by a digest of their key."""
+    number = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % N_VECTORS
+    vectors = vector_docs(spark, sf).withColumnsRenamed({"doc_id": "_vec_id"})
+    return rows.withColumn("_n", number).join(vectors, F.col("_n") == F.col("_vec_id"), "left").drop("_n", "_vec_id")
+
+
 def vector_docs(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
 
@@ -90,6 +103,8 @@ def _dense(name: str, queries: str, where: str, needs: list[str], k: int) -> Non
 
 add_block("eq", "eq AS (SELECT label AS query_id, vector FROM lv)", ["lv"])
 _dense("dx", "eq", "", ["eq"], 80)
+add_block("vq", "vq AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0)", [])
+_dense("dv", "vq", "", ["vq"], 80)
 _dense("dq", "qs", "JOIN documents t ON t.doc_id = e.vec_id AND t.lang = 'en'", ["qs"], 80)
 
 add_block("fused", """
@@ -127,9 +142,9 @@ def bm25_topk(spark, sf):
     return R.bm25_search(questions(spark, sf), R.bm25_index(table(spark, sf, "documents")))
 
 
-@query("dense_topk", sql("dx", "SELECT * FROM dx"))
+@query("dense_topk", sql("dv", "SELECT * FROM dv"))
 def dense_topk(spark, sf):
-    return R.dense_search(exemplar_queries(spark, sf), vector_docs(spark, sf))
+    return R.dense_search(vector_queries(spark, sf), vector_docs(spark, sf))
 
 
 @query("dense_topk_filtered", sql("dq", "SELECT * FROM dq"))
@@ -182,40 +197,67 @@ def hybrid_retrieve(spark, sf):
     return R.retrieve(questions(spark, sf), corpus(spark, sf), filters={"doc_type": "en"})
 
 
+def _fused(name: str, lists: list[str], k: int) -> None:
+    votes = " UNION ALL ".join(f"SELECT query_id, doc_id, rank FROM {x}" for x in lists)
+    add_block(name, f"""
+{name} AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
+   AS rank FROM (SELECT query_id, doc_id, round(SUM(1.0::DOUBLE / (60 + rank)), 9) AS score FROM ({votes}) u GROUP BY 1, 2) f) r
+  WHERE rank <= {k})""", lists)
+
+
 add_block("sq", """
-sq AS (SELECT concat(item_id, ':', i) AS query_id, item_id, s[i] AS text FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) AS i
-  FROM (SELECT item_id, string_split(text, '. ') AS s FROM benchmark) a) b)""", [])
-bm25_blocks("s_", "documents", "doc_id", "sq", ["sq"], k=8)
+sq AS (SELECT concat(item_id, ':', i) AS query_id, item_id, s[i] AS text, vector
+  FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) AS i
+   FROM (SELECT item_id, string_split(text, '. ') AS s FROM benchmark) a) b LEFT JOIN lv ON lv.label = item_id % 10)""", ["lv"])
+bm25_blocks("s_", "documents", "doc_id", "sq", ["sq"])
+_dense("s_dense", "sq", "", ["sq"], 80)
+_fused("s_fused", ["s_dense", "s_hits"], 8)
 
 
-@query("rrf_multi", sql("s_hits", """
+@query("rrf_multi", sql("s_fused", """
 SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
- FROM (SELECT CAST(split_part(query_id, ':', 1) AS BIGINT) AS query_id, doc_id, round(SUM(1.0::DOUBLE / (60 + rank)), 9) AS score FROM s_hits GROUP BY 1, 2) f) r
+ FROM (SELECT CAST(split_part(query_id, ':', 1) AS BIGINT) AS query_id, doc_id, round(SUM(1.0::DOUBLE / (60 + rank)), 9) AS score FROM s_fused GROUP BY 1, 2) f) r
 WHERE rank <= 8"""))
 def rrf_multi(spark, sf):
-    """Every sentence of a benchmark text is a subquery of it."""
-    parts = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("i", "text"))
-    asked = parts.select(F.concat_ws(":", "item_id", F.col("i") + 1).alias("query_id"), "text")
-    hits = R.bm25_search(asked, R.bm25_index(table(spark, sf, "documents")), 8)
+    """Every sentence of a benchmark text is a subquery of it, asked for words and for its item's vector."""
+    parts = questions(spark, sf).select("query_id", "vector", F.posexplode(F.split("text", r"\. ")).alias("i", "text"))
+    asked = parts.select(F.concat_ws(":", "query_id", F.col("i") + 1).alias("query_id"), "text", "vector")
+    sparse = R.bm25_search(asked, R.bm25_index(table(spark, sf, "documents")))
+    dense = R.dense_search(asked, vector_docs(spark, sf))
+    hits = R.top_k(R.rrf(dense, sparse), 8)
     item = F.split_part("query_id", F.lit(":"), F.lit(1)).cast("long")
     return R.rrf_multi(hits.select(item.alias("query_id"), "doc_id", "rank"))
 
 
-add_block("mq", """
-mq AS (SELECT concat(batter, ':', bowler) AS query_id, concat(batter, ' vs ', bowler, ' head to head performance') AS text,
-  batter, bowler FROM (SELECT DISTINCT batter, bowler FROM h) x)""", ["h"])
-bm25_blocks("p_", "pdocs", "doc_id", "mq", ["pdocs", "mq"])
+_KEYED = "CAST(concat('0x', substr(md5({}), 1, 8)) AS BIGINT) % 500"
+add_block("mq", f"""
+mq AS (SELECT x.*, e.embedding AS vector FROM (SELECT concat(batter, ':', bowler) AS query_id,
+   concat(batter, ' vs ', bowler, ' head to head performance') AS text, batter, bowler
+   FROM (SELECT DISTINCT batter, bowler FROM h) y) x
+  LEFT JOIN embeddings e ON e.vec_id = {_KEYED.format('x.query_id')})""", ["h"])
+add_block("cdocs", f"""
+cdocs AS (SELECT c.*, e.embedding FROM (SELECT doc_id, doc_type, text FROM sdocs UNION ALL SELECT doc_id, doc_type, text FROM pdocs
+   UNION ALL SELECT doc_id, doc_type, text FROM vdocs) c LEFT JOIN embeddings e ON e.vec_id = {_KEYED.format('c.doc_id')})""",
+          ["sdocs", "pdocs", "vdocs"])
+bm25_blocks("p_", "cdocs", "doc_id", "mq", ["cdocs", "mq"])
+add_block("p_dense", f"""
+p_dense AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
+   AS rank FROM (SELECT q.query_id, e.doc_id, round({_COS}, 6) AS score FROM mq q CROSS JOIN cdocs e
+    WHERE e.doc_type = 'player_profile' AND e.embedding IS NOT NULL AND q.vector IS NOT NULL) s) r WHERE rank <= 80)""",
+          ["mq", "cdocs"])
+_fused("p_fused", ["p_dense", "p_hits"], 80)
 
 
 def matchup_contexts(spark, sf):
+    """Pairs against the whole corpus; the filter binds the dense list to player profiles."""
     pairs = deliveries(spark, sf).select("batter", "bowler").distinct()
-    docs = stored(player_docs_table(spark, sf), "player-docs").withColumn("vector", F.lit(None).cast("array<float>"))
+    pairs = keyed_vectors(spark, sf, pairs, F.concat_ws(":", "batter", "bowler"))
+    docs = stored(keyed_vectors(spark, sf, doc_corpus(spark, sf), F.col("doc_id")), "matchup-docs")
     return R.matchup_context(pairs, docs), docs
 
 
-@query("matchup_context", sql("p_hits", """
-SELECT query_id, batter, bowler, doc_id, round(1.0::DOUBLE / (60 + rank), 9) AS score, rank FROM p_hits JOIN mq USING (query_id)
-WHERE rank <= 3"""))
+@query("matchup_context", sql("p_fused", """
+SELECT query_id, batter, bowler, doc_id, score, rank FROM p_fused JOIN mq USING (query_id) WHERE rank <= 3"""))
 def matchup_context(spark, sf):
     return matchup_contexts(spark, sf)[0].select("query_id", "batter", "bowler", "doc_id", "score", "rank")
 
@@ -231,7 +273,7 @@ def context_blocks(spark, sf):
 
 @query("ann_recall")
 def ann_recall(spark, sf):
-    asked, docs = exemplar_queries(spark, sf), vector_docs(spark, sf)
+    asked, docs = vector_queries(spark, sf), vector_docs(spark, sf)
     return R.recall(R.ann_search(asked, docs, DIM), R.dense_search(asked, docs, 10))
 
 

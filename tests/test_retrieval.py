@@ -50,11 +50,11 @@ def brute(asks, docs, k, lang=None):
     return out
 
 
-@pytest.mark.parametrize("max_broadcast", [100, 2])
+@pytest.mark.parametrize("block", [100, 2])
 @pytest.mark.parametrize("lang", [None, "fr"])
-def test_dense_search_against_brute_force(vectors, max_broadcast, lang):
+def test_dense_search_against_brute_force(vectors, block, lang):
     asked, docs, asks, rows = vectors
-    hits = R.dense_search(asked, docs, 7, {"doc_type": lang}, max_broadcast, docs_per_group=40, queries_per_group=4)
+    hits = R.dense_search(asked, docs, 7, {"doc_type": lang}, block)
     assert {(r["query_id"], r["doc_id"], r["rank"]) for r in hits.collect()} == brute(asks, rows, 7, lang)
 
 
