@@ -24,6 +24,7 @@ by text; a single document is its own next one.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,28 +37,44 @@ COMMON = tuple(
     "auf das dem den der des die ein eine er es für im ist mit nicht sich sie und von wird zu "
     "al como con del el ella lo los las más no para pero por se sin su una y".split()
 )
-_WORDS = "|".join(sorted(set(COMMON)))
-_SPOT = rf" (?=((?:{_WORDS})(?: (?:{_WORDS})(?= ))*+ [^ ]+(?: (?:{_WORDS})(?= ))*+ [^ ]+) )"
-_DROPPED = ".,;:!?\"'()[]{}<>|*&%$#…«»„“”¿¡"
-_BLANKS = "\t\n\x0b\x0c\r"
+_MARK = "\x01"  # before a common word
+_DROPPED = _MARK + ".,;:!?\"'()[]{}<>|*&%$#…«»„“”¿¡"
+
+
+def _alternatives(words: list[str]) -> str:
+    """A pattern of the words that shares their beginnings, so that a mismatch shows after a character or two."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[:1], []).append(w[1:])
+    optional = by_first.pop("", None) is not None
+    inner = "|".join(re.escape(c) + (_alternatives(rest) if rest != [""] else "") for c, rest in sorted(by_first.items()))
+    return f"(?:{inner}){'?' if optional else ''}" if inner else ""
+
+
+_COMMON = rf" ({_alternatives(sorted(set(COMMON)))})(?= )"
+_SKIP = rf"(?: {_MARK}[^ ]+)*+ "
+_SPOT = rf" (?=({_MARK}[^ ]+{_SKIP}[^ ]+{_SKIP}[^ ]+) )"
 #: Ranges of ids for every shuffle partition.
 RANGES = 4
 
 
 def plain(text: Column) -> Column:
     """Lower-cased words without punctuation, one blank before, between and behind."""
-    text = F.translate(F.lower(F.coalesce(text, F.lit(""))), _BLANKS + _DROPPED, " " * len(_BLANKS))
-    return F.concat(F.lit(" "), F.array_join(F.array_remove(F.split(text, " "), ""), " "), F.lit(" "))
+    text = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[{re.escape(_DROPPED)}]+", "")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, r"[\x09-\x0D ]+", " ")), F.lit(" "))
 
 
-def signatures(text: Column) -> Column:
-    """Sorted distinct signatures of a text."""
-    words = plain(text)
-    spots = F.array_join(F.array_distinct(F.regexp_extract_all(words, F.lit(_SPOT), 1)), "\n")
-    chains = F.split(F.regexp_replace(spots, rf"(?<= )(?:{_WORDS}) ", ""), "\n")
-    chains = F.when(spots != "", chains).when(F.trim(words) != "", F.array(F.concat(F.lit("="), F.trim(words)))) \
-        .otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.substring(F.md5(c), 1, 8))))
+def with_signatures(rows: DataFrame, text: str, to: str) -> DataFrame:
+    """Adds the sorted distinct signatures of a text. In steps, so that no step is evaluated twice."""
+    rows = rows.withColumn("_words", plain(F.col(text)))
+    spots = F.regexp_extract_all(F.regexp_replace("_words", _COMMON, f" {_MARK}$1"), F.lit(_SPOT), 1)
+    rows = rows.withColumn("_spots", F.array_join(spots, "\n"))
+    chains = F.split(F.translate(F.regexp_replace("_spots", rf"(?<= ){_MARK}[^ ]+ ", ""), _MARK, ""), "\n")
+    chains = F.when(F.col("_spots") != "", chains).when(
+        F.col("_words") != "  ", F.array(F.concat(F.lit("="), F.trim("_words")))).otherwise(
+        F.array().cast("array<string>"))
+    hashed = F.sort_array(F.array_distinct(F.transform(chains, lambda c: F.substring(F.md5(c), 1, 8))))
+    return rows.withColumn(to, hashed).drop("_words", "_spots")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -106,13 +123,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     many first ones, or all, of the next document.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("own", signatures(F.col("text")))
+    rows = with_signatures(rows, "text", "own")
     rows = with_next(rows, "doc_id", "text", {"next_text": "text", "next_own": "own"})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "own", "next_own", F.concat(
         F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
-    rows = rows.withColumn("edited_own", signatures(F.col("edited")))
+    rows = with_signatures(rows, "edited", "edited_own")
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         F.array_join("own", ",").alias("fingerprint"), F.array_join("edited_own", ",").alias("edited_fingerprint"),
