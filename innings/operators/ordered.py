@@ -41,8 +41,9 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, floor: int = HOT
     is safe to broadcast whatever the input size. On ordinary data it is
     empty, and adaptive execution then drops every join that depends on it.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg((F.count(F.lit(1)) * share).alias("_t"))
+    # Written (a row per key), so that the table is read once for both the counts and their total.
+    counts = stored(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
+    total = counts.agg((F.sum("_n") * share).alias("_t"))
     return counts.filter(F.col("_n") > F.greatest(F.lit(float(floor)), total.scalar())).select(key)
 
 
