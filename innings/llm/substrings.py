@@ -241,7 +241,8 @@ def dedup(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFram
     """``doc_id, text`` to ``doc_id, n_words, n_removed, kept_sha256``."""
     post, found = repeated_windows(docs, size, rounds)
     cut = _cut(found, size)
-    least = post.groupBy("content").agg(F.min("doc_id").alias("rep"))
+    # Written like the windows' table above: copies of one text may be a third of all rows.
+    least = stored(post.groupBy("content").agg(F.min("doc_id").alias("rep")), "substring-least")
     rows = post.select("doc_id", "content", "n_words").join(least, "content").join(cut, "content", "left")
     copy = (F.col("n_words") >= size) & (F.coalesce("doc_id", F.lit(2**63 - 1)) > F.col("rep"))
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
