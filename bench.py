@@ -17,7 +17,7 @@ HEADLINE = [
     "h2h_records", "batting_career", "bowling_career", "venue_stats", "team_form", "season_summary", "match_features",
     "innings_progress", "bowler_last3", "batter_form", "intent_features", "intent_features_prior", "player_docs",
     "doc_corpus", "bm25_topk", "dense_topk", "hybrid_retrieve", "matchup_context", "audit_report", "latency_summary",
-    "upsert_career_stats", "intent_model", "stream_matchup",
+    "upsert_career_stats", "intent_model", "stream_matchup", "ingest_deliveries", "store_reload",
 ]
 
 
