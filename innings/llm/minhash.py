@@ -154,7 +154,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, s: Settings
     return pairs.where(shared * 100 >= union * s.percent).select("a", "b")
 
 
-def _by_shingles(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+def by_rare_shingles(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Pairs ``a, b`` of ``id, component`` in different components that share a rare enough shingle.
 
     All sets are ordered by how many members have a shingle. If the first
@@ -177,7 +177,7 @@ def _by_shingles(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     held = early.groupBy("g", "component").agg(F.count("*").alias("m")).groupBy("g").agg(
         F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("largest")).where("parts > 1").select(
         "g", F.col("largest.component").alias("largest"))
-    early = stored(early.join(held, "g"), "minhash-early")
+    early = stored(early.join(stored(held, "minhash-held"), "g"), "minhash-early")
     # Members of the largest component of a shingle do not meet each other, and of two others each pair forms once.
     x, y = early.alias("x"), early.where("component <> largest").alias("y")
     reach = F.least(F.col("x.left"), F.col("y.left")) * (100 + s.percent) >= (F.col("x.n") + F.col("y.n")) * s.percent
@@ -209,7 +209,7 @@ def links(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     apart = stored(named.groupBy("posting").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
         "low < high").select("posting"), "minhash-apart")
     members = named.join(apart, "posting").select("id", "component").distinct()
-    return found.unionByName(confirmed(_by_shingles(members, sets, s), classes, sets, s))
+    return found.unionByName(confirmed(by_rare_shingles(members, sets, s), classes, sets, s))
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
