@@ -30,6 +30,10 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from innings.llm.components import components
+from innings.llm.minhash import Settings, by_rare_shingles
+from innings.llm.tables import stored
+
 #: Anchors, four languages; they also are what a chain skips.
 COMMON = tuple(
     "a an and are as at be by for from in is it of on or that the this to was were with "
@@ -137,6 +141,62 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         likeness(F.col("own"), F.col("next_own")).alias("near_next"))
 
 
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` whose sets reach the likeness; unequal lengths are cut before the sets are compared."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"s_{side}")), side)
+    n_a, n_b = F.size("s_a"), F.size("s_b")
+    pairs = pairs.where(F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    return pairs.where(shared * 100 >= (n_a + n_b - shared) * percent).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, percent: int = 80, few: int = 4) -> DataFrame:
+    """``doc_id, text`` to ``doc_id, group_id``, the smallest id reached over likenesses of ``percent`` or more.
+
+    Equal fingerprints are one class. Lanes hold neighbouring lengths; a class
+    is posted in its lanes under the rarest of its signatures, as many as a
+    similar one cannot all lack. A posting of a few classes forms its pairs;
+    in a larger one all meet the smallest id, and what stays apart meets by
+    its rarest signatures, members of one group never among themselves.
+    Empty fingerprints are alone, as are rows with a null id.
+    """
+    rows = with_signatures(docs.select("doc_id", "text"), "text", "own").select("doc_id", "own")
+    rows = stored(rows, "spot-rows")
+    sets = rows.where((F.size("own") > 0) & F.col("doc_id").isNotNull()).groupBy(F.col("own").alias("shingles")).agg(
+        F.min("doc_id").alias("id"))
+    sets = stored(sets.groupBy("id").agg(F.min("shingles").alias("shingles")), "spot-sets")
+    each = stored(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("g")), "spot-each")
+    common = stored(each.groupBy("g").agg(F.count("*").alias("df")), "spot-common")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
+    early = each.join(common, "g").withColumn("rank", rank).where(
+        (F.col("df") > 1) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    lane = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
+    posts = stored(early.select("g", "id", F.explode(F.array(lane, lane + 1)).alias("lane")), "spot-posts")
+    heads = stored(posts.groupBy("lane", "g").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1"),
+                   "spot-heads")
+    posts = stored(posts.join(heads, ["lane", "g"]), "spot-grouped")
+    small, large = posts.where(F.col("m") <= few), posts.where(F.col("m") > few)
+    x, y = small.alias("x"), small.alias("y")
+    pairs = x.join(y, (F.col("x.lane") == F.col("y.lane")) & (F.col("x.g") == F.col("y.g"))
+                   & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    stars = large.select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    found = stored(_alike(pairs.unionByName(stars), sets, percent), "spot-links")
+    named = large.join(components(found), F.col("id") == F.col("node"), "left").select(
+        "lane", "g", "id", F.coalesce("component", "id").alias("component"))
+    named = stored(named, "spot-named")
+    apart = stored(named.groupBy("lane", "g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                   .where("low < high").select("lane", "g"), "spot-apart")
+    members = named.join(apart, ["lane", "g"]).select("id", "component").distinct()
+    more = _alike(by_rare_shingles(members, sets, Settings(percent=percent)), sets, percent)
+    groups = components(found.unionByName(more))
+    own = sets.join(groups, F.col("id") == F.col("node"), "left").select(
+        F.col("shingles").alias("own"), F.coalesce("component", "id").alias("group_id"))
+    return rows.join(own, "own", "left").select(
+        "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("group_id", "doc_id")).alias("group_id"))
+
+
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(COMMON)))
 _DROPPED_SQL = _DROPPED.replace("'", "''")
 ORACLE = f"""

@@ -386,3 +386,29 @@ def test_fingerprints(spark, empty):
             like(own, changed), like(own, other))
     assert spotsigs.fingerprints(empty).count() == 0
     assert spotsigs.fingerprints(df.limit(1)).first()["near_next"] == 1.0
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_similar_groups(spark, docs, empty, percent):
+    rng = random.Random(3)
+    content = [f"word{i}" for i in range(60)]
+    base = [rng.choice(["the", "of", "and", rng.choice(content)]) for _ in range(200)]
+    rows = [" ".join(base)]
+    for _ in range(40):
+        copy = list(base)
+        for _ in range(rng.randint(0, 9)):
+            copy[rng.randrange(len(copy))] = f"new{rng.randrange(20)}"
+        rows.append(" ".join(copy))
+    rows += [t or "" for t in SPOT_TEXTS] + [None, rows[3]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    prints = [set(prints_by_brute_force(t)) for t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(prints[i] & prints[j])
+            if shared and shared * 100 >= percent * len(prints[i] | prints[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    got = as_dict(spotsigs.similar_groups(df, percent))
+    assert [got[i]["group_id"] for i in range(len(rows))] == group
+    assert len(set(group)) > 5 and spotsigs.similar_groups(empty).count() == 0
