@@ -193,7 +193,7 @@ def identify(docs: DataFrame, s: Settings = Settings(), folds: int = 5) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, 1 << 25):
+            for part in parts(batch, 1 << 24):
                 name, score = predict(part.column("text"), net)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(name, pa.string()),
@@ -209,7 +209,7 @@ def accepted(docs: DataFrame, least: float = 0.0, s: Settings = Settings(), fold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, 1 << 25):
+            for part in parts(batch, 1 << 24):
                 name, score = predict(part.column("text"), net)
                 yield part.filter(pa.array((np.array(name) != UNKNOWN) & (score > least)))
 
