@@ -12,9 +12,10 @@ sees more than that of a source, however large its share. Rows of the windows
 hold id, key and size, never texts. Only tables with a row per source or per bucket are joined back.
 
 Defined results: null text and null counts have size 0; a null source is a
-source of its own, last in order; rows with equal ids are told apart by their
-size only and share a budget place by it; an empty table gives no rows;
-all sizes 0 give targets of 0.
+source of its own, last in order; rows with equal ids lie by size, and null ids
+have one key; :func:`mixed` tells rows apart by all their columns, so each is
+repeated as often as the mix takes it and rows equal in all columns are
+interchangeable; an empty table gives no rows; all sizes 0 give targets of 0.
 """
 
 from __future__ import annotations
@@ -57,13 +58,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
                         F.least(F.col("most").cast("double"), F.col("weight") * F.col("level")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0,
+        carried: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, source, text`` to ``doc_id, size, source_size, target, taken`` (and source, epochs).
 
     ``taken`` counts words with repeats: whole epochs of the document plus
-    what the last, unfinished epoch takes of it.
+    what the last, unfinished epoch takes of it. ``carried`` columns stay with
+    their row and order rows of equal id and size.
     """
-    rows = docs.select(F.col("doc_id"), F.col("source"), n_words("text").alias("size"))
+    rows = docs.select(F.col("doc_id"), F.col("source"), n_words("text").alias("size"), *carried)
     rows = rows.withColumn("key", F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"),
                                                                       F.lit(seed))), 1, 15), 16, 10).cast("long"))
     rows = stored(rows, "mixing-rows")  # a number, a name and a key per document: the texts are read once
@@ -75,12 +78,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     ).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
     keyed = rows.alias("a").join(aims.alias("b"), same).select(
-        "doc_id", F.col("a.source"), "size", "key", "source_size", "target", "epochs", "rest",
+        "doc_id", F.col("a.source"), "size", *carried, "key", "source_size", "target", "epochs", "rest",
         F.floor(F.col("key") / (F.lit(float(16 ** 15)) / F.col("n_buckets"))).alias("bucket"))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "bucket", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *carried).rowsBetween(
         Window.unboundedPreceding, -1)
     placed = keyed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.alias("a").join(
@@ -90,18 +93,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     return joined.select(
         "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
         (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"),
-        "source", F.col("epochs").cast("long").alias("epochs"))
+        "source", F.col("epochs").cast("long").alias("epochs"), *carried)
+
+
+def _marks(docs: DataFrame) -> dict[str, Column]:
+    """128 bits of all columns of a row. Maps, which cannot be hashed, go as JSON."""
+    cols = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
+    # Nulls leave a hash as it is; their places tell which column was null.
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in docs.columns])
+    return {f"__mix_{k}": F.xxhash64(F.lit(k), nulls, *cols) for k in (0, 1)}
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, a row for each epoch (the one cut at the budget stays whole).
 
-    A text without words is in no epoch.
+    A text without words is in no epoch. Rows equal in all columns meet in one
+    row, which is repeated as often as all of them together.
     """
+    marks = _marks(docs)
+    marked = docs.withColumns(marks)
     extra = F.when(F.col("taken") > F.col("epochs") * F.col("size"), 1).otherwise(0)
-    copies = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__mix_id"),
-                                         (F.col("epochs") + extra).cast("int").alias("__mix_n"))
-    copies = copies.groupBy("__mix_id").agg(F.max("__mix_n").alias("__mix_n"))
-    each = docs.join(copies, docs["doc_id"] == copies["__mix_id"])
-    return each.select(*[docs[c] for c in docs.columns],
-                       F.explode(F.sequence(F.lit(1), copies["__mix_n"])).alias("__mix_epoch")).drop("__mix_epoch")
+    copies = mix(marked, **options, carried=tuple(marks)).where("taken > 0").groupBy(*marks).agg(
+        F.sum(F.col("epochs") + extra).cast("int").alias("__mix_n"))
+    each = marked.dropDuplicates(list(marks)).join(copies, list(marks))
+    return each.withColumn("__mix_epoch", F.explode(F.sequence(F.lit(1), "__mix_n"))).select(*docs.columns)

@@ -250,6 +250,30 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_mixed_repeats_every_row_as_often_as_it_is_taken(spark):
+    """Null ids, ids of several sources and texts, and rows equal in all columns."""
+    rows = [(None, "a b c", "x"), (None, "d e", "x"), (None, "f g h i", None), (None, None, "y"), (5, "one two three", "x"),
+            (5, "one two", "y"), (5, "four five", "y"), (5, "six", None), (6, "equal rows here now", "y"),
+            (6, "equal rows here now", "y"), (6, "equal rows here now", "y"), (7, "p q r s t u v w", "z"), (8, "o", "y")]
+    rows += [(i, "word " * (i % 7), "xyz"[i % 3]) for i in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn(
+        "extra", F.create_map(F.lit("k"), F.length("text"))).repartition(3).cache()
+    got = mixing.mixed(docs)
+    assert {(None, "x"), (None, None), (5, "x"), (5, "y"), (5, None)} <= {(r["doc_id"], r["source"]) for r in got.collect()}
+    taken, times = collections.Counter(), collections.Counter()
+    for r in mixing.mix(docs, carried=("text",)).collect():
+        taken[r["source"]] += r["taken"]
+        times[r["doc_id"], r["text"], r["source"]] += r["epochs"] + (r["taken"] > r["epochs"] * r["size"])
+    assert got.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["text"], r["source"]) for r in got.collect()) == +collections.Counter(
+        {k: n for k, n in times.items() if k[1] and k[1].strip()})
+    held = collections.Counter()
+    for r in got.collect():
+        held[r["source"]] += len(r["text"].split())
+    assert all(held[x] >= n for x, n in taken.items())
+    docs.unpersist()
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard(docs, n_shards=7).collect()
     assert len(rows) == len(texts())
