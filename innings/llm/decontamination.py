@@ -1,16 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: pairs of neighbouring words as seeds, then Smith-Waterman alignment.
 
-One pass counts in the corpus the words that occur in test items. An n-gram
-of an item is a seed if the product of its words' frequencies is small, or if
-it is among the rarest of its item. Frequencies of single words, unlike
-counts of the n-grams, stay small for a passage that leaked a thousand times.
-The second pass looks up the seeds in every whole text; where one is hit, the
-words around it are aligned with the item. Edits, insertions and dropped words
-lower the score instead of ending the match.
+Every pair of neighbouring words of a test item is a seed; in a text its two
+words may have one other between them. An edit breaks a few pairs only: of an
+item of L words a copy with half of the item's own score keeps L/3 - 1 pairs
+within 2 L words, and thirteen words copied nearly exactly keep twelve. Texts
+with that many seeds close to each other are aligned with the item there, so
+common words and heavy editing lose no copy.
+
+A copy counts if its alignment has ``threshold`` of the item's own score, or
+if ``passage`` words of the item, long or short, stand there nearly exactly: an edit
+costs three words.
 
 Documents stay where they are: nothing of them is shuffled. Items travel to
-the tasks in blocks of bounded size, one pass per block, so a large benchmark
-takes more passes and never more memory.
+the tasks in blocks of bounded size, one pass per block, and seeds are looked
+up for a bounded number of hits at a time, so a large benchmark takes more
+passes and never more memory.
 
 Words: lower-cased (A-Z), parted by ASCII punctuation and white space.
 Defined results: null or empty texts match nothing; items of fewer than
@@ -21,36 +25,39 @@ row; repeated rows give repeated results; an empty benchmark matches nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innings.llm.words import PUNCTUATION, Words, ngrams, parts, split
+from innings.llm.words import PUNCTUATION, Words, mix, parts, split
 
 
 @dataclass(frozen=True)
 class Settings:
-    n: int = 3
-    rare: float = 1e-8  # a seed's words are expected together less often than this per position
-    rarest: int = 6  # and these many of an item are seeds in any case
+    n: int = 3  # words that an item has at least
     threshold: float = 0.5  # least score, as a share of the item's own
+    passage: int = 13  # so many words of an item are a leak whatever its length
     match: float = 2.0
     miss: float = 1.0
     gap: float = 1.0
     block_bytes: int = 4 << 20  # text of test items in one pass
+    hits: int = 1 << 21  # of seeds, looked up at a time
+
+    @property
+    def strict(self) -> Settings:
+        """Scores of passages: a word for a match, three for an edit."""
+        return replace(self, match=1.0, miss=3.0, gap=3.0)
 
 
 @dataclass
 class _Items:
     ids: list[int]
     words: list[np.ndarray]  # hashes of an item's words
-    vocabulary: np.ndarray  # sorted
     seeds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted, may repeat
     item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    offset: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     filter: np.ndarray = field(default_factory=lambda: np.zeros(1 << 20, bool))
 
 
@@ -70,56 +77,21 @@ def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[_Items]:
             words = _split(pa.array([r["text"] for r in rows], pa.string()))
             h = words.hashes()
             yield _Items([r["item_id"] for r in rows],
-                         [h[a:z] for a, z in zip(words.first, words.first[1:])], np.unique(h))
-
-
-def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """How often each word of the vocabulary occurs in the corpus, and the number of all words.
-
-    A task sends one row per word it has met, so rows follow the tasks.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(len(vocabulary), np.int64), 0
-        for batch in batches:
-            for part in parts(batch):
-                h = _split(part.column(0)).hashes()
-                at = np.searchsorted(vocabulary, h)
-                at[at == len(vocabulary)] = 0
-                counts += np.bincount(at[vocabulary[at] == h], minlength=len(vocabulary))
-                total += len(h)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, -1)), pa.array(np.append(counts[at], total))], names=["at", "n"])
-
-    got = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    counts, total = np.zeros(len(vocabulary), np.int64), 0
-    for at, n in got:  # at most one row per word of the block
-        if at < 0:
-            total = n
-        else:
-            counts[at] = n
-    return counts, total
-
-
-def with_seeds(items: _Items, counts: np.ndarray, total: int, s: Settings) -> _Items:
-    weight = np.log10((counts + 1) / (total + 1))
-    seeds, item, offset = [], [], []
-    for i, h in enumerate(items.words):
-        if len(h) < s.n:
-            continue
-        grams, at = ngrams(h, np.array([0, len(h)]), s.n)
-        w = weight[np.searchsorted(items.vocabulary, h)]
-        rarity = sum(w[k:len(w) - s.n + 1 + k] for k in range(s.n))
-        chosen = rarity <= np.log10(s.rare)
-        chosen[np.argsort(rarity, kind="stable")[:s.rarest]] = True
-        seeds.append(grams[chosen])
-        offset.append(at[chosen])
-        item.append(np.full(int(chosen.sum()), i))
-    if seeds:
-        seeds, item, offset = map(np.concatenate, (seeds, item, offset))
+                         [h[a:z] for a, z in zip(words.first, words.first[1:])])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def with_seeds(items: _Items, s: Settings) -> _Items:
+    long = [i for i, h in enumerate(items.words) if len(h) >= s.n]
+    if long:
+        seeds = [np.unique(_pairs(items.words[i][:-1], items.words[i][1:])) for i in long]
+        item = np.repeat(long, [len(x) for x in seeds])
+        seeds = np.concatenate(seeds)
         order = np.argsort(seeds, kind="stable")
-        items.seeds, items.item, items.offset = seeds[order], item[order], offset[order]
+        items.seeds, items.item = seeds[order], item[order]
         items.filter[items.seeds & np.uint64(len(items.filter) - 1)] = True
     return items
 
@@ -138,62 +110,109 @@ def align(item: np.ndarray, passage: np.ndarray, s: Settings) -> tuple[float, in
     return best, end
 
 
-def _passages(where: np.ndarray, length: int, size: int) -> Iterator[tuple[int, int]]:
-    """Ranges of a document around places where an item would begin; near ones are merged."""
-    slack = max(4, length // 3)
-    begin, stop = None, None
-    for w in np.sort(where):
-        a, z = max(0, int(w) - slack), min(size, int(w) + length + slack)
-        if begin is not None and a <= stop:
-            stop = max(stop, z)
-            continue
-        if begin is not None:
-            yield begin, stop
-        begin, stop = a, z
-    if begin is not None:
-        yield begin, stop
+def _seed_places(h: np.ndarray, first: np.ndarray, items: _Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words where a pair begins that is a seed: their index, and the range of the seed in the sorted seeds."""
+    places, seeds = [], []
+    for apart in (1, 2):
+        if len(h) <= apart:
+            break
+        pair = _pairs(h[:-apart], h[apart:])
+        at = np.flatnonzero(items.filter[pair & np.uint64(len(items.filter) - 1)])
+        at = at[np.searchsorted(first, at, "right") == np.searchsorted(first, at + apart, "right")]  # in one document
+        places.append(at)
+        seeds.append(pair[at])
+    if not places:
+        return (np.zeros(0, np.int64),) * 3
+    place, seed = np.concatenate(places), np.concatenate(seeds)
+    order = np.argsort(place, kind="stable")
+    place, seed = place[order], seed[order]
+    low, high = np.searchsorted(items.seeds, seed, "left"), np.searchsorted(items.seeds, seed, "right")
+    on = high > low
+    return place[on], low[on], high[on]
+
+
+def _dense(group: np.ndarray, place: np.ndarray, need: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Hits that begin ``need`` places of their group within ``width`` words. Rows lie by group and place."""
+    last = np.arange(len(group)) + need - 1
+    inside = np.flatnonzero(last < len(group))
+    to = last[inside]
+    return inside[(group[to] == group[inside]) & (place[to] - place[inside] <= width[inside])]
+
+
+def _candidates(h: np.ndarray, first: np.ndarray, items: _Items, s: Settings
+                ) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """Document, item and the ranges of words in which a copy can lie."""
+    place, low, high = _seed_places(h, first, items)
+    length = np.array([len(w) for w in items.words])
+    doc = np.searchsorted(first, place, "right") - 1
+    total = np.cumsum(high - low)
+    at = 0
+    while at < len(place):
+        # Whole documents of a bounded number of hits, one at least.
+        before = total[at - 1] if at else 0
+        to = int(np.searchsorted(total, before + s.hits, "right"))
+        to = np.searchsorted(doc, doc[to], "left") if to < len(doc) else len(doc)
+        if to <= at:
+            to = np.searchsorted(doc, doc[at], "right")
+        n = high[at:to] - low[at:to]
+        which = np.repeat(low[at:to], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        item, where = items.item[which], np.repeat(place[at:to], n)
+        group = np.repeat(doc[at:to], n) * len(items.words) + item
+        order = np.lexsort((where, group))
+        group, where = group[order], where[order]
+        new = np.append(True, (np.diff(group) != 0) | (np.diff(where) != 0))
+        group, where = group[new], where[new]
+        size = length[group % len(items.words)]
+        copies = _dense(group, where, np.maximum(1, size // 3 - 1), 2 * size)
+        passages = _dense(group, where, np.full(len(group), s.passage - 1), np.full(len(group), 5 * s.passage))
+        begins = np.union1d(copies, passages[size[passages] >= s.passage])
+        cuts = np.flatnonzero(np.diff(group[begins])) + 1
+        for own in np.split(begins, cuts) if len(begins) else []:
+            d, i = divmod(int(group[own[0]]), len(items.words))
+            reach, start, end = 2 * int(length[i]), int(first[d]), int(first[d + 1])
+            a, z = np.maximum(start, where[own] - reach), np.minimum(end, where[own] + 2 * reach)
+            apart = np.flatnonzero(a[1:] > z[:-1])
+            yield d, i, list(zip(a[np.append(0, apart + 1)].tolist(), z[np.append(apart, len(z) - 1)].tolist()))
+        at = to
 
 
 def matches_in(texts: pa.Array, items: _Items, s: Settings) -> Iterator[tuple[int, int, float, int, int]]:
-    """Row, item, score, and first and last + 1 word of the best passage, for scores from the threshold on."""
+    """Row, item, score, and first and last + 1 word of the best passage, for scores from the threshold on and for
+    passages copied nearly exactly."""
     words = _split(texts)
     h = words.hashes()
-    grams, at = ngrams(h, words.first, s.n)
-    hit = np.flatnonzero(items.filter[grams & np.uint64(len(items.filter) - 1)])
-    low = np.searchsorted(items.seeds, grams[hit], "left")
-    n = np.searchsorted(items.seeds, grams[hit], "right") - low
-    hit, low, n = hit[n > 0], low[n > 0], n[n > 0]
-    if not len(hit):
-        return
-    which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    place = np.repeat(at[hit], n)
-    doc = np.searchsorted(words.first, place, "right") - 1
-    item, begin = items.item[which], place - items.offset[which]
-    order = np.lexsort((begin, item, doc))
-    doc, item, begin = doc[order], item[order], begin[order]
-    cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
-    for group in np.split(np.arange(len(doc)), cuts):
-        d, i = int(doc[group[0]]), int(item[group[0]])
-        own, target = h[words.first[d]:words.first[d + 1]], items.words[i]
-        best = (0.0, 0, 0)
-        for a, z in _passages(begin[group] - words.first[d], len(target), len(own)):
-            score, end = align(target, own[a:z], s)
-            if score > best[0]:
-                best = (score, a, a + end)
+    for d, i, ranges in _candidates(h, words.first, items, s):
+        target, start = items.words[i], int(words.first[d])
+        best, by = _best(h, target, ranges, s), s
         score = best[0] / (s.match * len(target))
-        if score >= s.threshold:
-            back = own[best[1]:best[2]][::-1]
-            yield d, i, score, best[2] - align(target[::-1], back, s)[1], best[2]
+        if score < s.threshold:
+            if best[0] < s.match * s.passage:  # no passage has less
+                continue
+            by, best = s.strict, _best(h, target, ranges, s.strict)
+            if best[0] < s.passage:
+                continue
+        back = h[best[1]:best[2]][::-1]
+        yield d, i, score, best[2] - align(target[::-1], back, by)[1] - start, best[2] - start
+
+
+def _best(h: np.ndarray, target: np.ndarray, ranges: list[tuple[int, int]], s: Settings) -> tuple[float, int, int]:
+    """Best score, begin of its range and end of its passage."""
+    best = (0.0, 0, 0)
+    for a, z in ranges:
+        score, end = align(target, h[a:z], s)
+        if score > best[0]:
+            best = (score, a, a + end)
+    return best
 
 
 MATCH = "doc_id long, item_id long, score double, first_word long, last_word long"
 
 
 def matches(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``doc_id, text`` against ``item_id, text``: one row per document and item above the threshold."""
+    """``doc_id, text`` against ``item_id, text``: one row per document and item that it copies, whole or a passage of."""
     found = None
     for block in item_blocks(items, s.block_bytes):
-        block = with_seeds(block, *word_counts(docs, block.vocabulary), s)
+        block = with_seeds(block, s)
 
         def run(batches: Iterator[pa.RecordBatch], block: _Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -215,7 +234,7 @@ def matches(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> Data
 def clean(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` without a match, every column as it is. No exchange: rows are dropped where they lie."""
     for block in item_blocks(items, s.block_bytes):
-        block = with_seeds(block, *word_counts(docs, block.vocabulary), s)
+        block = with_seeds(block, s)
 
         def run(batches: Iterator[pa.RecordBatch], block: _Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -328,6 +328,33 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.clean(every, items.limit(0)).count() == every.count()
 
 
+def test_decontamination_of_passages_and_edited_copies(spark):
+    """Passages below half of an item, a word put in after every two, and common words whose rare ones were changed."""
+    rng = random.Random(3)
+    say = lambda mark, n: [f"{mark}{rng.randrange(5000)}" for _ in range(n)]
+    middle, long, edited = say("m", 59), say("l", 1000), say("e", 30)
+    common = [f"c{i % 40}" for i in range(0, 7 * 40, 7)]
+    common[10], common[25] = "rare", "words"
+    changed = [{"rare": "other", "words": "ones"}.get(w, w) for w in common]
+    nearly = middle[:17]
+    nearly[8] = "typo"
+    put_in = [w for i, word in enumerate(edited) for w in ([word] + [f"in{i}"] * (i % 2))]
+    pad = lambda words: " ".join(["pad"] * 30 + words + ["pad"] * 30)
+    texts = [pad(middle[10:37]), pad(long[300:700]), pad(put_in), pad(changed), pad(nearly), pad(middle[:12]),
+             pad(rng.sample(middle, 40)), pad([w for x in long[:200] for w in (x, "not", "this", "one")])]
+    texts += [" ".join(rng.sample([f"c{i}" for i in range(40)] * 50, 2000)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([middle, long, edited, common])],
+                                  "item_id long, text string")
+    for options in ({}, {"hits": 20}):
+        found = decontamination.matches(docs, items, decontamination.Settings(**options))
+        got = {(r["doc_id"], r["item_id"]): r for r in found.collect()}
+        assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 0)}
+        assert [(got[k]["first_word"], got[k]["last_word"]) for k in ((0, 0), (1, 1), (4, 0))] == [
+            (30, 57), (30, 430), (30, 47)]
+        assert got[0, 0]["score"] == round(27 / 59, 6) and got[2, 2]["score"] >= 0.74
+
+
 def test_alignment_against_plain_table():
     import numpy as np
 
