@@ -46,6 +46,8 @@ class Settings:
     epochs: int = 3
     batch: int = 256
     rate: float = 0.01
+    judged: int = 10_000  # documents, in expectation, that the least share is chosen on
+    loss: float = 0.001  # of rightly named documents that may be below it
     seed: int = 3
 
 
@@ -203,14 +205,46 @@ def identify(docs: DataFrame, s: Settings = Settings(), folds: int = 5) -> DataF
                        "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, least: float = 0.0, s: Settings = Settings(), folds: int = 5) -> DataFrame:
-    """The rows whose text has a language, with a pooled probability above ``least``; all columns as they are."""
-    net = learned(docs, s, folds)
+def least_share(docs: DataFrame, net: Network, s: Settings = Settings(), folds: int = 5) -> float:
+    """The pooled probability from which on a text is accepted.
+
+    Half, so that one language has more than all others; less if more than
+    ``loss`` of the documents of the training folds that the network names
+    rightly (about ``judged`` of them, drawn by a hash of the id) were below.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", folds) != 0))
+    share = int(min(1.0, s.judged / max(1, known.count())) * 1_000_000)
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(1_000_000)) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, 1 << 24):
+            for part in parts(batch):
                 name, score = predict(part.column("text"), net)
-                yield part.filter(pa.array((np.array(name) != UNKNOWN) & (score > least)))
+                right = np.array(name) == np.array(part.column("lang").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(score[right])], names=["score"])
+
+    scores = np.sort([r["score"] for r in drawn.select("lang", "text").mapInArrow(run, "score double").collect()])
+    return min(0.5, float(scores[int(len(scores) * s.loss)])) if len(scores) else 0.0
+
+
+def accepted(docs: DataFrame, least: float | None = None, s: Settings = Settings(), folds: int = 5) -> DataFrame:
+    """The rows whose text has a language, with a pooled probability of ``least`` or more; all columns as they are.
+
+    Without ``least`` it is chosen by :func:`least_share`. If nothing could be
+    learned, for want of labels, no text is rejected but those without a letter.
+    """
+    net = learned(docs, s, folds)
+    if least is None:
+        least = 0.0 if net is None else least_share(docs, net, s, folds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                if net is None:
+                    keep = np.array([bool(_LETTER.search(t.as_py() or "")) for t in part.column("text")])
+                else:
+                    name, score = predict(part.column("text"), net)
+                    keep = (np.array(name) != UNKNOWN) & (score >= least)
+                yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

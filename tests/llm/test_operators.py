@@ -184,6 +184,22 @@ def test_language_accuracy(spark, sf):
     assert right >= 0.9
 
 
+def test_texts_in_no_language_are_rejected(spark, sf):
+    """A text of four languages in equal parts goes, clean held-out ones stay; without labels only letters count."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    parts = [r["t"] for r in table.where("length(text) > 1000").groupBy("lang").agg(
+        F.min_by("text", "doc_id").alias("t")).collect()]
+    assert len(parts) == 4
+    blend = spark.createDataFrame([(-1, " ".join(t[:800] for t in parts), None), (-2, "12 34", None)], table.schema)
+    ids = {r["doc_id"] for r in langid.accepted(table.unionByName(blend)).collect()}
+    held = [r["doc_id"] for r in table.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert -1 not in ids and -2 not in ids
+    assert sum(i in ids for i in held) >= 0.98 * len(held)
+    unlabelled = table.unionByName(blend).withColumn("lang", F.lit(None).cast("string"))
+    letters = unlabelled.where(F.col("text").rlike(r"\p{L}")).count()
+    assert langid.accepted(unlabelled).count() == letters > 0
+
+
 def test_language_model(spark, docs, empty):
     counts, held = collections.Counter(), {}
     for i, t in enumerate(texts()):
