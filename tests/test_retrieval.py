@@ -67,6 +67,14 @@ def test_approximate_search_finds_only_true_scores(vectors):
     assert share > 0.6
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_approximate_search_as_registered(spark, scale):
+    from innings.plans.retrieval import ann_recall
+
+    got = [r["recall"] for r in ann_recall(spark, f"/root/testdata/{scale}").collect()]
+    assert got and sum(got) / len(got) >= 0.9 and min(got) >= 0.8
+
+
 def test_bm25_against_brute_force(spark, tmp_path):
     texts = ["the bat the ball", "ball and  stump", "The stump", "", "bat bat bat over", "rain"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
