@@ -77,9 +77,67 @@ SELECT l.doc_id, len(l.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha25
 FROM lists l LEFT JOIN sums s ON s.doc_id = l.doc_id
 """
 
+LINE_DEDUP = rf"""
+WITH lines AS MATERIALIZED (
+    SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS MATERIALIZED (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key
+    FROM lines),
+held AS (
+    SELECT key, min(doc_id) AS low FROM keyed WHERE length(key) >= 10
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+marked AS (SELECT k.*, coalesce(k.doc_id > h.low, FALSE) AS gone FROM keyed k LEFT JOIN held h ON h.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds of assignment and means, one pair of CTEs each; products of integers are exact in doubles."""
+    steps = [f"""
+vectors AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label,
+           list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS MATERIALIZED (
+    SELECT n, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS x
+    FROM vectors, range({parts}) AS r(part)),
+book0 AS MATERIALIZED (SELECT part, n - 1 AS entry, x FROM pieces WHERE n <= {entries})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+near{i} AS MATERIALIZED (
+    SELECT p.n, p.part, any_value(p.x) AS x, min({{'d': list_inner_product(p.x, p.x) + list_inner_product(b.x, b.x)
+           - 2 * list_inner_product(p.x, b.x), 'entry': entry}}) AS best
+    FROM pieces p JOIN book{i} b ON b.part = p.part GROUP BY p.n, p.part)""")
+        if i < rounds:
+            steps.append(f"""
+mean{i} AS MATERIALIZED (
+    SELECT part, entry, list(m ORDER BY k) AS x FROM (
+        SELECT part, best.entry AS entry, k, floor(sum(x[k]) / count(*)) AS m
+        FROM near{i}, range(1, len(x) + 1) AS r(k) GROUP BY part, best.entry, k) GROUP BY part, entry),
+book{i + 1} AS MATERIALIZED (
+    SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{i} b
+    LEFT JOIN mean{i} m ON m.part = b.part AND m.entry = b.entry)""")
+    return "WITH " + ",".join(steps) + f""",
+coded AS (
+    SELECT v.vec_id, v.label, string_agg(printf('%02x', best.entry::INTEGER), '' ORDER BY part) AS code,
+           sum(best.d)::BIGINT AS error
+    FROM near{rounds} a JOIN vectors v ON v.n = a.n GROUP BY v.n, v.vec_id, v.label),
+digest AS (
+    SELECT sha256(string_agg(c, ',' ORDER BY part, entry)) AS h FROM (
+        SELECT part, entry, array_to_string(list_transform(x, lambda y: y::BIGINT), ',') AS c FROM book{rounds}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT h FROM digest) AS codebooks_sha256 FROM coded
+"""
+
+
 ORACLES: dict[str, str] = {
     "op4_near_dedup": NEAR_DEDUP,
     "op6_mix_sources": MIX_SOURCES,
     "op9_substring_dedup": SUBSTRING_DEDUP,
     "op10_fingerprints": _SPOTS,
+    "op12_vector_codes": _vector_codes(),
+    "op13_line_dedup": LINE_DEDUP,
 }

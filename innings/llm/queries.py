@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innings.llm import decontamination, langid, lm, minhash, mixing, reputation, secrets, sharding, spotsigs, substrings
+from innings.llm import (codes, decontamination, langid, lines, lm, minhash, mixing, reputation, secrets, sharding,
+                         spotsigs, substrings)
 from innings.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +59,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_secret_scan, op2_url_filter, op3_language_id, op4_near_dedup, op5_lm_scores, op6_mix_sources, op7_shard,
-    op8_decontaminate, op9_substring_dedup, op10_fingerprints,
+    op8_decontaminate, op9_substring_dedup, op10_fingerprints, op12_vector_codes, op13_line_dedup,
 )}
