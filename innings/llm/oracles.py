@@ -77,6 +77,46 @@ SELECT l.doc_id, len(l.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha25
 FROM lists l LEFT JOIN sums s ON s.doc_id = l.doc_id
 """
 
+#: The checksum of a decimal id, bit by bit (polynomial of CRC-32).
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),
+           lambda c: ascii(c)::BIGINT)), lambda r, c: list_reduce([xor(r, c), 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda v, _: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
+PERIODIC_RUNS = rf"""
+WITH base AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, {_CRC} AS h FROM documents),
+tailed AS (
+    SELECT doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM base),
+lists AS MATERIALIZED (
+    SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+           w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM tailed),
+grams AS MATERIALIZED (
+    SELECT doc_id, i, n, md5(array_to_string(w[i + 1:i + 8], ' ')) AS v
+    FROM (SELECT *, unnest(range(n - 7)) AS i FROM lists WHERE n >= 24)),
+again AS MATERIALIZED (SELECT doc_id, v FROM grams GROUP BY ALL HAVING count(*) > 1),
+recurring AS MATERIALIZED (SELECT g.* FROM grams g JOIN again USING (doc_id, v)),
+pairs AS (
+    SELECT x.doc_id, x.i, y.i - x.i AS q FROM recurring x JOIN recurring y ON x.doc_id = y.doc_id AND x.v = y.v
+    AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+islands AS (
+    SELECT doc_id, q, min(i) AS s, count(*) + 7 + q AS l FROM (
+        SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs)
+    GROUP BY doc_id, q, island HAVING count(*) + 7 + q >= greatest(24, 3 * q)),
+runs AS MATERIALIZED (SELECT doc_id, s, l, min(q) AS q FROM islands GROUP BY doc_id, s, l),
+best AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+           first({{'s': s, 'l': l, 'q': q}} ORDER BY l::DOUBLE / q DESC, s, q) AS b FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (
+    SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS t
+    FROM (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS word FROM lists) e ANTI JOIN gone g USING (doc_id, i)
+    GROUP BY e.doc_id)
+SELECT l.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period,
+       1000 * b.l // b.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(t, '')) AS collapsed_sha256
+FROM lists l LEFT JOIN best r ON r.doc_id = l.doc_id LEFT JOIN kept k ON k.doc_id = l.doc_id
+"""
+
 LINE_DEDUP = rf"""
 WITH lines AS MATERIALIZED (
     SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line
@@ -138,6 +178,7 @@ ORACLES: dict[str, str] = {
     "op6_mix_sources": MIX_SOURCES,
     "op9_substring_dedup": SUBSTRING_DEDUP,
     "op10_fingerprints": _SPOTS,
+    "op11_periodic_runs": PERIODIC_RUNS,
     "op12_vector_codes": _vector_codes(),
     "op13_line_dedup": LINE_DEDUP,
 }

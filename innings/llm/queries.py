@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innings.llm import (codes, decontamination, langid, lines, lm, minhash, mixing, reputation, secrets, sharding,
-                         spotsigs, substrings)
+from innings.llm import (codes, decontamination, langid, lines, lm, minhash, mixing, periodic, reputation, secrets,
+                         sharding, spotsigs, substrings)
 from innings.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of the runs and of the text without repeats; tails are planted as asked for."""
+    rows = periodic.repeats(periodic.with_tails(table(spark, sf_dir, "documents")))
+    rows = rows.withColumn("best", periodic.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.expr("1000 * best.length div best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.codes(table(spark, sf_dir, "embeddings"))
 
@@ -70,5 +81,6 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_secret_scan, op2_url_filter, op3_language_id, op4_near_dedup, op5_lm_scores, op6_mix_sources, op7_shard,
-    op8_decontaminate, op9_substring_dedup, op10_fingerprints, op12_vector_codes, op13_line_dedup,
+    op8_decontaminate, op9_substring_dedup, op10_fingerprints, op11_periodic_runs, op12_vector_codes,
+    op13_line_dedup,
 )}
