@@ -15,7 +15,7 @@ def test_agrees_with_sql(name, spark, duck, sf):
     assert message == ""
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith(("op6_", "op7_", "op10_"))])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith(("op6_", "op7_", "op10_", "op13_"))])
 def test_native_queries_run_no_python(name, spark, sf):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert not any(k in plan for k in ("Python", "Arrow", "Pandas"))
@@ -25,7 +25,7 @@ def test_registered(spark):
     import __spark_entry__ as driver
 
     assert {*QUERIES, "pipeline"} <= set(driver.queries())
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_pipeline(spark, sf):

@@ -415,7 +415,7 @@ def test_substrings_of_repeated_and_null_ids(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(1, passage), (1, passage), (1, "a " + passage), (3, "b " + passage), (None, "c " + passage), (0, "d")]
     got = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in got) == [
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [
         (-1, 61, 60), (0, 1, 0), (1, 60, 0), (1, 60, 0), (1, 61, 0), (3, 61, 60)]
 
 
