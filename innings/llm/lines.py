@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from innings.llm.tables import stored
+from innings.llm.tables import hashed, stored
 
 LEAST = 10
 DOCUMENTS = 2
@@ -43,22 +43,18 @@ def key(line: Column) -> Column:
     return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
 
 
-def _hashes(of: Column, names: tuple[str, str]) -> list[Column]:
-    return [F.xxhash64(of).alias(names[0]), F.xxhash64(F.lit(names[1]), of).alias(names[1])]
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` with what tells rows apart: the id (null as the largest one) and two hashes of the text."""
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias(
-        "id"), *_hashes(text, ("t1", "t2")))
+        "id"), *hashed(text, "t1", "t2"))
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST, documents: int = DOCUMENTS) -> DataFrame:
     """``id, t1, t2, gone``: the positions (from 0) of the lines that leave a row, for rows that lose any."""
     each = _rows(docs).select("id", "t1", "t2", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     each = each.withColumn("key", key(F.col("line"))).where(F.length("key") >= least)
-    each = stored(each.select("id", "t1", "t2", "at", *_hashes(F.col("key"), ("h1", "h2"))), "line-hashes")
+    each = stored(each.select("id", "t1", "t2", "at", *hashed(F.col("key"), "h1", "h2")), "line-hashes")
     held = each.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(
         F.count("*").alias("n"), F.min("id").alias("low")).where(F.col("n") >= documents).select("h1", "h2", "low")
     held = stored(held, "line-counts")

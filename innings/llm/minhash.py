@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innings.llm.components import components
-from innings.llm.tables import stored
+from innings.llm.tables import hashed, stored
 from innings.llm.words import mix, ngrams, parts, split
 
 
@@ -87,8 +87,14 @@ def signatures(sets: list[np.ndarray], s: Settings) -> np.ndarray:
     return out
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, t1, t2, text``: the id and two hashes of the text tell rows apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashed(F.coalesce("text", F.lit("")), "t1", "t2"),
+                       "text")
+
+
 def signed(docs: DataFrame, s: Settings) -> DataFrame:
-    """``doc_id, n_shingles, content, signature``; content is null without words."""
+    """``doc_id, t1, t2, n_shingles, content, signature``; content is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,15 +102,15 @@ def signed(docs: DataFrame, s: Settings) -> DataFrame:
                 sets = shingle_sets(part.column("text"), s.shingle)
                 sign = signatures(sets, s)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
+                    *(part.column(c) for c in ("doc_id", "t1", "t2")), pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets],
                              pa.binary()),
                     pa.FixedSizeListArray.from_arrays(pa.array(sign.ravel()), s.coordinates).cast(
                         pa.list_(pa.int32())),
-                ], names=["doc_id", "n_shingles", "content", "signature"])
+                ], names=["doc_id", "t1", "t2", "n_shingles", "content", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, content binary, signature array<int>")
+    return _texts(docs).mapInArrow(
+        run, "doc_id long, t1 long, t2 long, n_shingles long, content binary, signature array<int>")
 
 
 def full_sets(texts: DataFrame, s: Settings) -> DataFrame:
@@ -212,8 +218,8 @@ def links(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     return found.unionByName(confirmed(by_rare_shingles(members, sets, s), classes, sets, s))
 
 
-def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``doc_id, text`` to ``doc_id, n_shingles, component_id, kept``."""
+def judged(docs: DataFrame, s: Settings) -> DataFrame:
+    """``doc_id, t1, t2, n_shingles, component_id, kept``: what becomes of every row, told apart by id and text."""
     rows = stored(signed(docs, s), "minhash-rows")
     classes = rows.where("content is not null and doc_id is not null").groupBy("content").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
@@ -221,13 +227,20 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     found = components(links(docs, classes, s))
     named = classes.select("content", "id").join(found, F.col("id") == F.col("node"), "left").select(
         "content", F.coalesce("component", "id").alias("component"))
-    whole = rows.select("doc_id", "n_shingles", "content").join(named, "content", "left")
+    whole = rows.select("doc_id", "t1", "t2", "n_shingles", "content").join(named, "content", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return whole.select("doc_id", "n_shingles", component.alias("component_id"),
+    return whole.select("doc_id", "t1", "t2", "n_shingles", component.alias("component_id"),
                         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``doc_id, text`` to ``doc_id, n_shingles, component_id, kept``."""
+    return judged(docs, s).drop("t1", "t2")
+
+
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that are kept: one document of each group."""
-    gone = near_duplicates(docs, s).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of ``docs`` that are kept: one document of each group. A row goes by its own text, whatever its id has."""
+    gone = judged(docs, s).where(~F.col("kept")).select(
+        F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct()
+    t1, t2 = hashed(F.coalesce(docs["text"], F.lit("")), "t1", "t2")
+    return docs.join(gone, (docs["doc_id"] == F.col("_id")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left_anti")

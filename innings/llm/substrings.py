@@ -19,7 +19,9 @@ window, wherever it lies, holds the same interior symbols.
 4. Words covered by a window that a smaller document has as well are removed.
 
 Equal texts go through steps 1 to 4 once: the copies' rows follow from the
-smallest document of the text.
+smallest document of the text. Tables hold hashes of a text, not the text;
+steps 3 and 4 fetch texts by id and hashes, and a bit set of bounded size keeps
+most of the others from moving.
 
 Windows meet by two independent names, their filing symbol (a recompression
 name of 48 bits and its length) and a hash of 64 bits over all their words.
@@ -41,11 +43,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innings.llm.tables import stored
+from innings.llm.tables import hashed, possible, stored
 from innings.llm.words import Words, mix, ngrams, parts, split
 
 WINDOW = 50
 ROUNDS = 5
+#: Stands for a null id, larger than any other.
+_LAST = 2**63 - 1
+#: A text, wherever only its row is needed: its smallest id and two hashes.
+_TEXT = ["rep", "c1", "c2"]
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -135,8 +141,15 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """``rep, c1, c2, text``: the id and two hashes of the text tell rows apart, so texts without an id do not meet."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("rep"), *hashed(text, "c1", "c2"),
+                       text.alias("text"))
+
+
 def posted(docs: DataFrame, size: int, rounds: int) -> DataFrame:
-    """``doc_id, content, n_words, keys``: digest of the word sequence and the symbols its windows are filed under."""
+    """``rep, c1, c2, n_words, whole, keys``: digest of all words and the symbols the windows are filed under."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,27 +161,20 @@ def posted(docs: DataFrame, size: int, rounds: int) -> DataFrame:
                 at, key = at[change], key[change]  # neighbours mostly share their symbol
                 doc = np.searchsorted(words.first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0).cast(pa.int64()),
+                    *(part.column(c) for c in _TEXT), pa.array(words.count.astype(np.int64)),
                     pa.array([_digest((t.as_py() or "").encode().split()) for t in texts], pa.binary()),
-                    pa.array(words.count.astype(np.int64)),
                     _lists(key, np.bincount(doc, minlength=len(texts))),
-                ], names=["doc_id", "content", "n_words", "keys"])
+                ], names=[*_TEXT, "n_words", "whole", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, content binary, n_words long, keys array<long>")
+    return _rows(docs).mapInArrow(run, "rep long, c1 long, c2 long, n_words long, whole binary, keys array<long>")
 
 
-def windows(docs: DataFrame, size: int, rounds: int) -> DataFrame:
-    """``content, text, shared`` (symbols) to the same text with the windows filed under shared symbols."""
+def windows(texts: DataFrame, size: int, rounds: int) -> DataFrame:
+    """Texts with ``shared`` symbols to ``rep, c1, c2, starts, hashes, names`` of the windows filed under them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
-                texts, content = part.column("text"), part.column("content")
-                own = [_digest((t.as_py() or "").encode().split()) == c.as_py() for t, c in zip(texts, content)]
-                part = part.filter(pa.array(own, pa.bool_()))  # a row of another text under the same id
-                if not part.num_rows:
-                    continue
                 words = split(part.column("text"), lower=False)
                 h = words.hashes()
                 at, key = filing(words, h, size, rounds)
@@ -182,71 +188,75 @@ def windows(docs: DataFrame, size: int, rounds: int) -> DataFrame:
                 at, doc, key, value = at[keep], doc[keep], key[keep], value[keep].view(np.int64)
                 n = np.bincount(doc, minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("content"), part.column("rep"), part.column("text"),
+                    *(part.column(c) for c in _TEXT),
                     _lists((at - words.first[doc]).astype(np.int32), n), _lists(value, n), _lists(key, n),
-                ], names=["content", "rep", "text", "starts", "hashes", "names"])
+                ], names=[*_TEXT, "starts", "hashes", "names"])
 
-    return docs.select("content", "rep", "text", "shared").mapInArrow(
-        run, "content binary, rep long, text string, starts array<int>, hashes array<long>, names array<long>")
+    return texts.select(*_TEXT, "text", "shared").mapInArrow(
+        run, "rep long, c1 long, c2 long, starts array<int>, hashes array<long>, names array<long>")
 
 
 def _cut(rows: DataFrame, size: int) -> DataFrame:
-    """``content, text, starts`` of repeated windows to ``content, n_removed, kept_sha256``."""
+    """Texts with ``starts`` of repeated windows to ``c1, c2, n_removed, kept`` (a digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, kept = [], []
             for text, starts in zip(batch.column("text"), batch.column("starts")):
-                words = (text.as_py() or "").encode().split()
+                words = text.as_py().encode().split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 at = np.unique(starts.values.to_numpy())
                 edge[at] += 1
                 edge[at + size] -= 1
                 gone = np.cumsum(edge)[:-1] > 0
                 removed.append(int(gone.sum()))
-                kept.append(_digest([w for w, g in zip(words, gone.tolist()) if not g]).hex())
+                kept.append(_digest([w for w, g in zip(words, gone.tolist()) if not g]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("content"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-                names=["content", "n_removed", "kept_sha256"])
+                [batch.column("c1"), batch.column("c2"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())],
+                names=["c1", "c2", "n_removed", "kept"])
+
+    return rows.select("c1", "c2", "text", "starts").mapInArrow(
+        run, "c1 long, c2 long, n_removed long, kept binary").dropDuplicates(["c1", "c2"])
+
 
-    return rows.select("content", "text", "starts").mapInArrow(
-        run, "content binary, n_removed long, kept_sha256 string").dropDuplicates(["content"])
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` rows (by ``rep, c1, c2``) with their texts; rows of ``docs`` that are surely not wanted stay put."""
+    return possible(_rows(docs), wanted, _TEXT).join(wanted, _TEXT)
 
 
 def repeated_windows(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """The posted rows of all documents, and ``content, text, starts``: windows that a smaller document has too."""
+    """The posted rows of all documents, and ``rep, c1, c2, starts``: windows that a smaller document has too."""
     post = stored(posted(docs, size, rounds), "substring-posts")
-    texts = post.where(F.col("n_words") >= size).groupBy("content").agg(
-        F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("rep"), F.first("keys").alias("keys"))
-    texts = stored(texts.select("content", "rep", F.array_distinct("keys").alias("keys")), "substring-texts")
-    filed = texts.select("content", "rep", F.explode("keys").alias("key"))
-    shared = filed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where(
+    texts = post.where(F.col("n_words") >= size).groupBy("c1", "c2").agg(
+        F.min("rep").alias("rep"), F.first("keys").alias("keys"))
+    texts = stored(texts.select(*_TEXT, F.array_distinct("keys").alias("keys")), "substring-texts")
+    filed = texts.select(*_TEXT, F.explode("keys").alias("key"))
+    # Texts are told apart by a hash here: null ids and repeated ids are no reason to lose a symbol.
+    shared = filed.groupBy("key").agg(F.min("c1").alias("low"), F.max("c1").alias("high")).where(
         (F.col("low") < F.col("high")) | (F.col("key") == 0)).select("key")
-    chosen = filed.join(shared, "key").groupBy("content", "rep").agg(F.collect_list("key").alias("shared"))
-    parsed = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep"), "text").join(chosen, "rep")
-    parsed = stored(windows(parsed, size, rounds), "substring-windows")
-    each = parsed.select("content", "rep", F.explode(F.arrays_zip("starts", "hashes", "names")).alias("w")).select(
-        "content", "rep", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"),
-        F.col("w.names").alias("name"))
+    chosen = filed.join(shared, "key").groupBy(*_TEXT).agg(F.collect_list("key").alias("shared"))
+    chosen = stored(chosen, "substring-chosen")
+    parsed = stored(windows(_with_texts(docs, chosen), size, rounds), "substring-windows")
+    each = parsed.select(*_TEXT, F.explode(F.arrays_zip("starts", "hashes", "names")).alias("w")).select(
+        *_TEXT, F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"), F.col("w.names").alias("name"))
     smallest = each.groupBy("hash", "name").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where(
         F.col("low") < F.col("high")).select("hash", "name", "low")
     # Written, so that both sides of the join come from plain exchanges and a hot window can be split.
     smallest = stored(smallest, "substring-smallest")
     found = each.join(smallest, ["hash", "name"]).where(F.col("rep") > F.col("low"))
-    starts = found.groupBy("content").agg(F.collect_set("start").alias("starts"))
-    return post, parsed.select("content", "text").join(starts, "content")
+    return post, found.groupBy(*_TEXT).agg(F.collect_set("start").alias("starts"))
 
 
 def dedup(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, text`` to ``doc_id, n_words, n_removed, kept_sha256``."""
     post, found = repeated_windows(docs, size, rounds)
-    cut = _cut(found, size)
+    cut = _cut(_with_texts(docs, stored(found, "substring-starts")), size)
     # Written like the windows' table above: copies of one text may be a third of all rows.
-    least = stored(post.groupBy("content").agg(F.min("doc_id").alias("rep")), "substring-least")
-    rows = post.select("doc_id", "content", "n_words").join(least, "content").join(cut, "content", "left")
-    copy = (F.col("n_words") >= size) & (F.coalesce("doc_id", F.lit(2**63 - 1)) > F.col("rep"))
+    least = stored(post.groupBy("c1", "c2").agg(F.min("rep").alias("least")), "substring-least")
+    rows = post.select(*_TEXT, "n_words", "whole").join(least, ["c1", "c2"]).join(cut, ["c1", "c2"], "left")
+    copy = (F.col("n_words") >= size) & (F.col("rep") > F.col("least"))
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return rows.select(
-        "doc_id", "n_words",
+        F.nullif("rep", F.lit(_LAST)).alias("doc_id"), "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, nothing).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("content")))).alias("kept_sha256"))
+        F.when(copy, nothing).otherwise(F.lower(F.hex(F.coalesce("kept", "whole")))).alias("kept_sha256"))

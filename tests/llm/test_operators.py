@@ -164,6 +164,19 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert got == sorted([(1, 1, True), (1, 1, True), (-1, None, True), (2, 1, False), (2, 2, True)], key=str)
 
 
+def test_every_kept_row_stays(spark):
+    """Equal and null ids: a row goes or stays by its own text."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a b c d e f", 1), (2, "A B C d e f", 2), (2, "q r s t u v", 3), (None, "a b c d e f", 4), (None, base, 5),
+            (None, None, 6), (7, base, 7), (7, base + " more", 8), (8, base + " more", 9), (8, None, 10), (8, "", 11),
+            (3, "q r s t u v", 12), (3, "Q r s t u v x", 13), (1, "a b c d e f", 14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t1 int").repartition(3)
+    kept = [tuple(r) for r in minhash.deduplicated(df).collect()]
+    judged = minhash.near_duplicates(df)
+    assert len(kept) == judged.where("kept").count() and df.columns == minhash.deduplicated(df).columns
+    assert sorted(r[2] for r in kept) == [1, 3, 4, 5, 6, 7, 8, 10, 11, 13, 14]
+
+
 def test_language(spark, docs, empty):
     got = as_dict(langid.identify(docs))
     blank = [i for i, t in enumerate(texts()) if not re.search(r"[^\W\d_]", t or "")]
@@ -419,6 +432,17 @@ def test_substrings_of_repeated_and_null_ids(spark):
         (-1, 61, 60), (0, 1, 0), (1, 60, 0), (1, 60, 0), (1, 61, 0), (3, 61, 60)]
 
 
+def test_substrings_of_many_texts_without_id(spark):
+    """Texts without an id share a passage: they are apart from each other, and lose it to a document with one."""
+    passage = " ".join(f"p{i}" for i in range(55))
+    docs = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(
+        F.lit(passage), F.lit(" own "), F.col("id")).alias("text"), F.lit("x").alias("c1"))
+    assert substrings.dedup(docs).agg(F.sum("n_removed"), F.count("*")).first()[:] == (0, 400)
+    one = spark.createDataFrame([(5, "before " + passage, "")], docs.schema)
+    got = substrings.dedup(docs.unionByName(one)).groupBy("doc_id").agg(F.sum("n_removed").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {None: 55 * 400, 5: 0}
+
+
 def prints_by_brute_force(text):
     drop = str.maketrans("", "", spotsigs._DROPPED)
     w = [x for x in re.split(r"[\t\n\x0b\x0c\r ]+", (text or "").lower().translate(drop)) if x]
