@@ -108,6 +108,15 @@ def h2h_records(deliveries: DataFrame) -> DataFrame:
     )
 
 
+def h2h_fold(deliveries: DataFrame) -> DataFrame:
+    """The sums behind a head-to-head record; they add up over matches."""
+    known = F.col("batter").isNotNull() & F.col("bowler").isNotNull()
+    return deliveries.filter(known).groupBy("batter", "bowler", "phase").agg(
+        F.count(F.lit(1)).alias("balls"), F.sum("batsman_runs").alias("runs"),
+        count_if(_own_dismissal()).alias("wickets"), count_if(_batting_dot()).alias("dots"),
+        count_if(F.col("batsman_runs") >= 4).alias("boundaries"))
+
+
 def innings_totals(deliveries: DataFrame) -> DataFrame:
     return deliveries.groupBy("match_id", "inning").agg(F.sum("total_runs").alias("inn_runs"))
 

@@ -31,6 +31,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def entries() -> dict[str, Entry]:
-    from innings.plans import aggregates, audits, features, live, models, retrieval, stores, texts  # noqa: F401
+    from innings.plans import aggregates, audits, features, incremental, live, models, retrieval, stores, texts  # noqa: F401
 
     return dict(_ENTRIES)

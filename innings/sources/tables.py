@@ -48,10 +48,25 @@ def replace_tables(root: str, matches: DataFrame, deliveries: DataFrame) -> dict
 
 # ---- versions: write a new one, then readers move to it ---------------------
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/v*/_SUCCESS")
-    done = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted(int(s.getPath().getParent().getName()[1:]) for s in done)
+def _file_system(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match."""
+    files, path = _file_system(spark, pattern)
+    return [s.getPath().toString() for s in files.globStatus(path) or []]
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Creates an empty file; False if it is there already, whoever made it."""
+    files, path = _file_system(spark, path)
+    return files.createNewFile(path)
+
+
+def _versions(spark: SparkSession, root: str, marker: str = "v*/_SUCCESS") -> list[int]:
+    return sorted(int(p.split("/")[-2][1:]) for p in listed(spark, f"{root.rstrip('/')}/{marker}"))
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame | None:
@@ -61,10 +76,16 @@ def read_current(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def write_version(df: DataFrame, root: str) -> str:
-    """A version is visible once its success marker exists, so a lost job leaves the old one in place."""
-    done = _versions(df.sparkSession, root)
-    path = f"{root.rstrip('/')}/v{(done[-1] + 1) if done else 1:08d}"
-    df.write.mode("overwrite").parquet(path)
+    """A version is visible once its success marker exists, so a lost job leaves the old one in place.
+
+    Its number is claimed by a file that only one writer can create, so two writers never share a folder.
+    """
+    spark, root = df.sparkSession, root.rstrip("/")
+    number = max([0, *_versions(spark, root, "v*/_SUCCESS"), *_versions(spark, root, "v*/_claimed")]) + 1
+    while not claim(spark, f"{root}/v{number:08d}/_claimed"):
+        number += 1
+    path = f"{root}/v{number:08d}"
+    df.write.mode("append").parquet(path)
     return path
 
 
