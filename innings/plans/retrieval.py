@@ -67,11 +67,11 @@ def bm25_blocks(prefix: str, docs: str, key: str, queries: str, needs: list[str]
     """``<prefix>tf``, ``<prefix>idf`` and ranked hits ``<prefix>hits`` over the named sources."""
     p = prefix
     add_block(f"{p}idf", f"""
-{p}tok AS ({_words(docs, key, 'doc_id')}),
-{p}dl AS (SELECT x.{key} AS doc_id, COUNT(term) AS dl FROM {docs} x LEFT JOIN {p}tok ON {p}tok.doc_id = x.{key} GROUP BY 1),
-{p}st AS (SELECT COUNT(*) AS n, SUM(dl) / COUNT(*) AS avgdl FROM {p}dl),
-{p}tf AS (SELECT term, doc_id, COUNT(*) AS tf FROM {p}tok GROUP BY 1, 2),
-{p}raw AS (SELECT term, COUNT(*) AS df, ln((SELECT n FROM {p}st) - COUNT(*) + 0.5::DOUBLE) - ln(COUNT(*) + 0.5::DOUBLE) AS r
+{p}tok AS MATERIALIZED ({_words(docs, key, 'doc_id')}),
+{p}dl AS MATERIALIZED (SELECT x.{key} AS doc_id, COUNT(term) AS dl FROM {docs} x LEFT JOIN {p}tok ON {p}tok.doc_id = x.{key} GROUP BY 1),
+{p}st AS MATERIALIZED (SELECT COUNT(*) AS n, SUM(dl) / COUNT(*) AS avgdl FROM {p}dl),
+{p}tf AS MATERIALIZED (SELECT term, doc_id, COUNT(*) AS tf FROM {p}tok GROUP BY 1, 2),
+{p}raw AS MATERIALIZED (SELECT term, COUNT(*) AS df, ln((SELECT n FROM {p}st) - COUNT(*) + 0.5::DOUBLE) - ln(COUNT(*) + 0.5::DOUBLE) AS r
   FROM {p}tf GROUP BY 1),
 {p}idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25::DOUBLE * (SELECT AVG(r) FROM {p}raw) ELSE r END AS idf FROM {p}raw)""",
               needs)

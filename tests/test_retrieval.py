@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from innings.functions import vectors as Vx
 from innings.operators import retrieval as R
+from innings.operators.textindex import Search, bm25_hits
 
 
 def ranked(spark, ids, query=1):
@@ -97,6 +98,54 @@ def test_bm25_against_brute_force(spark, tmp_path):
     assert {r["doc_id"]: r["score"] for r in R.bm25_search(asked, again).collect()} == got
 
 
+@pytest.mark.parametrize(("k", "block", "at_once"), [(5, 16, 100), (3, 4, 7), (80, 128, 100)])
+def test_blocks_are_passed_over_without_loss(spark, k, block, at_once):
+    """Every hit as from scoring all documents, ties by id; and blocks that can't reach the k-th score are not scored."""
+    rng = np.random.default_rng(k)
+    words = [f"w{i}" for i in range(60)]
+    share = 1 / np.arange(1, 61)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40), p=share / share.sum())) for _ in range(700)] + [None, "w1 " * 500]
+    asks = [" ".join(rng.choice(words, rng.integers(1, 6))) for _ in range(25)] + ["none of these", "", "w0 w0 w1"]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    asked = spark.createDataFrame(list(enumerate(asks)), "query_id int, text string")
+    split = [(t or "").split() for t in texts]
+    n, avg = len(split), sum(map(len, split)) / len(split)
+    df = {w: sum(w in s for s in split) for w in words}
+    idf = {w: np.log(n - c + 0.5) - np.log(c + 0.5) for w, c in df.items() if c}
+    mean = sum(idf.values()) / len(idf)
+    idf = {w: v if v >= 0 else 0.25 * mean for w, v in idf.items()}
+    want = set()
+    for q, ask in enumerate(asks):
+        scored = []
+        for i, s in enumerate(split):
+            score = sum(idf.get(w, 0) * s.count(w) * 2.5 / (s.count(w) + 1.5 * (0.25 + 0.75 * len(s) / avg)) for w in ask.split())
+            if round(score, 6) > 0:
+                scored.append((-round(score, 6), f"d{i}"))
+        want |= {(q, d, r + 1) for r, (_, d) in enumerate(sorted(scored)[:k])}
+    index = R.bm25_index(docs, block=block)
+    hits = R.bm25_search(asked, index, k, at_once).collect()
+    assert {(r["query_id"], r["doc_id"], r["rank"]) for r in hits} == want
+    assert bm25_hits(asked, index, k, at_once).groupBy("query_id").count().agg(F.max("count")).first()[0] <= k * (
+        index.blocks.rdd.getNumPartitions())
+
+
+def test_search_skips_blocks():
+    import pyarrow as pa
+
+    search = Search(pa.array(["a"]), np.array([0, 1]), np.array([0]), np.array([1.0]), 2, 10.0, 1.5, 0.75)
+    for i, tf in enumerate((9, 1, 1, 9, 8)):
+        search.add({"terms": pa.array(["a"]), "doc_ids": pa.array([2 * i, 2 * i + 1]), "lengths": pa.array([10, 10]),
+                    "df": pa.array([2]), "most": pa.array([tf]), "shortest": pa.array([10]), "docs": pa.array([0, 1]),
+                    "tfs": pa.array([tf, tf])})
+    assert search.scored == 2 and search.hits[0][0].tolist() == [0, 1]
+
+
+def test_empty_corpus(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a")], "query_id int, text string")
+    assert R.bm25_search(asked, R.bm25_index(docs)).count() == 0
+
+
 def test_filter_binds_dense_hits_only(spark):
     docs = spark.createDataFrame(
         [(1, "a", "bat ball", [1.0, 0.0]), (2, "b", "bat", [1.0, 0.0]), (3, "b", "zzz", [1.0, 0.1]), (4, "b", "yyy", None)],
