@@ -30,11 +30,16 @@ def step(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> np.ndarray:
     return g + zr[:, :k] * (h - g)
 
 
-def unrolled(x: np.ndarray, h: np.ndarray, u: np.ndarray):
-    """States after each step of ``x`` (steps, rows, gates), and what :func:`backward` needs."""
+def unrolled(x: np.ndarray, h: np.ndarray, u: np.ndarray, fresh: np.ndarray | None = None):
+    """States after each step of ``x`` (steps, rows, gates), and what :func:`backward` needs.
+
+    ``fresh`` (steps, rows): rows that forget their state before the step.
+    """
     k = h.shape[1]
     states, cache = [], []
-    for xt in x:
+    for t, xt in enumerate(x):
+        if fresh is not None and fresh[t].any():
+            h = np.where(fresh[t][:, None], np.float32(0), h)
         g = h @ u
         z, r = sigmoid(xt[:, :k] + g[:, :k]), sigmoid(xt[:, k:2 * k] + g[:, k:2 * k])
         n = np.tanh(xt[:, 2 * k:] + r * g[:, 2 * k:])
@@ -44,8 +49,9 @@ def unrolled(x: np.ndarray, h: np.ndarray, u: np.ndarray):
     return np.stack(states), cache
 
 
-def backward(d_states: np.ndarray, cache: list, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients of the inputs and of ``u`` from those of the states, back through the steps."""
+def backward(d_states: np.ndarray, cache: list, u: np.ndarray, fresh: np.ndarray | None = None
+             ) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the inputs and of ``u`` from those of the states, back through the steps to where a row was fresh."""
     k = u.shape[0]
     dx, du, dh = np.empty((len(cache), d_states.shape[1], 3 * k), np.float32), np.zeros_like(u), 0
     for t in range(len(cache) - 1, -1, -1):
@@ -56,6 +62,8 @@ def backward(d_states: np.ndarray, cache: list, u: np.ndarray) -> tuple[np.ndarr
         dx[t] = np.concatenate([dg[:, :2 * k], dn], axis=1)
         du += h.T @ dg
         dh = dh * z + dg @ u.T
+        if fresh is not None and fresh[t].any():
+            dh = np.where(fresh[t][:, None], np.float32(0), dh)
     return dx, du
 
 

@@ -235,15 +235,85 @@ def test_language_model(spark, docs, empty):
 
 
 def test_language_model_learns_and_is_whole(spark):
-    """Scores of a text do not depend on its batch or on windows, and order is learned."""
-    rows = [(i, " ".join(["left right"] * 40)) for i in range(60)]
-    df = spark.createDataFrame(rows + [(900, "left right " * 700), (901, "right right " * 700)],
+    """Scores of a text do not depend on its batch or on windows, and order is learned, long documents or not."""
+    held = [i for i in range(900, 1000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, " ".join(["left right"] * (40 + i % 30))) for i in range(60)] + [(800, "left right " * 700)]
+    df = spark.createDataFrame([*rows, (held[0], "left right " * 700), (held[1], "right right " * 700)],
                                "doc_id long, text string")
     s = lm.Settings(vocabulary=6, classes=2, hidden=8, epochs=12)
     got = as_dict(lm.score(df.coalesce(1), s))
     again = as_dict(lm.score(df.repartition(6), s))
     assert all(math.isclose(got[i]["score"], again[i]["score"], rel_tol=1e-3) for i in got)
-    assert got[900]["score"] > got[901]["score"] and got[900]["score"] > got[900]["base_score"]
+    good, bad = got[held[0]], got[held[1]]
+    assert good["held_out"] and bad["held_out"]
+    assert good["score"] > bad["score"] and good["score"] > good["base_score"]
+
+
+def test_language_model_against_plain_loops():
+    """Probabilities of all words sum to one, and a document's score is the product of its steps."""
+    import numpy as np
+
+    s = lm.Settings(vocabulary=10, classes=3, hidden=5, epochs=2, window=4, streams=3)
+    net = lm.Network(s)
+    rng = np.random.default_rng(1)
+    net.train([rng.integers(0, 12, n) for n in (3, 9, 1, 14, 6)], s)
+    p, k = net.p, s.hidden
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def distribution(h):
+        c = np.exp(h @ p["c"] + p["cb"])
+        c = c / c.sum()
+        out = []
+        for i in range(net.classes):
+            w = np.exp(h @ p["w"][i] + p["wb"][i])
+            out.extend(c[i] * w / w.sum())
+        return np.array(out)
+
+    texts = [rng.integers(0, 12, n) for n in (7, 1, 13)]
+    want = []
+    for ids in texts:
+        h, before, total = np.zeros(k), lm.END, 0.0
+        for i in ids:
+            x, g = p["x"][before], h @ p["u"]
+            z, r = sig(x[:k] + g[:k]), sig(x[k:2 * k] + g[k:2 * k])
+            n = np.tanh(x[2 * k:] + r * g[2 * k:])
+            h = (1 - z) * n + z * h
+            probability = distribution(h)
+            assert math.isclose(probability.sum(), 1, rel_tol=1e-5)
+            total += math.log10(probability[i])
+            before = i
+        want.append(total)
+    got = net.document_scores(np.concatenate(texts), np.cumsum([0, 7, 1, 13]))
+    assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_gradients_of_runs_end_to_end():
+    """Back-propagation over rows that are fresh in the middle, against differences."""
+    import numpy as np
+
+    from innings.llm import gru
+
+    rng = np.random.default_rng(0)
+    x, h, u = rng.normal(size=(6, 2, 9)), rng.normal(size=(2, 3)), rng.normal(size=(3, 9))
+    fresh = np.zeros((6, 2), bool)
+    fresh[0, 1] = fresh[3, 0] = True
+    weight = rng.normal(size=(6, 2, 3))
+    loss = lambda x, u: float((gru.unrolled(x, h, u, fresh)[0] * weight).sum())
+    states, cache = gru.unrolled(x, h, u, fresh)
+    dx, du = gru.backward(weight, cache, u, fresh)
+    for value, grad in ((x, dx), (u, du)):
+        for _ in range(25):
+            at = tuple(rng.integers(0, n) for n in value.shape)
+            moved = value.copy()
+            moved[at] += 1e-5
+            change = (loss(moved, u) if value is x else loss(x, moved)) - loss(x, u)
+            assert math.isclose(change / 1e-5, grad[at], rel_tol=1e-2, abs_tol=1e-4)
+
+
+def test_language_model_beats_unigrams_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    row = lm.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert row[0] / row[2] > row[1] / row[2] + 0.1
 
 
 def test_mixing(spark, docs, empty):
