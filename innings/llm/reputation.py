@@ -13,7 +13,9 @@ content.
 Defined results: a url that is null or has no ``://`` has an empty host and
 path, which fit no rule; an unlabelled host gets its domain's prior, an
 unknown suffix the overall rate; without any labelled page the rate is one
-half. Repeated rows give repeated results.
+half. Repeated rows give repeated results; a page labelled twice counts once,
+by its worse label; very long urls are read whole; an empty table of pages
+gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from innings.llm.tables import stored
+
 #: Second-level labels that belong to the suffix (``example.co.uk``).
 SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov", "edu")
 
@@ -57,14 +61,18 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
     ordered = sorted(rules, key=lambda r: (-len(r.host + r.path), r.host, r.path))
     fits = [F.when(((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path),
                    F.struct(F.lit(r.host + r.path).alias("rule"), F.lit(r.verdict).alias("verdict"))) for r in ordered]
-    return F.coalesce(*fits)
+    none = F.lit(None).cast("struct<rule:string,verdict:string>")
+    return F.coalesce(*fits, none)
+
 
+def domain_of(host: Column, second_level: tuple[str, ...] = SECOND_LEVEL) -> tuple[Column, Column]:
+    """Registered domain and public suffix, by labels counted from the end; a port or user is cut off.
 
-def domain_of(host: Column) -> tuple[Column, Column]:
-    """Registered domain and public suffix, by labels counted from the end; a port or user is cut off."""
+    A suffix is one label, or two if the second is in ``second_level`` and the last one has two letters.
+    """
     labels = F.split(F.regexp_replace(host, r"^.*@|:[0-9]*$", ""), r"\.")
     n = F.size(labels)
-    two = (n > 2) & F.element_at(labels, F.greatest(-n, F.lit(-2))).isin(*SECOND_LEVEL) & (
+    two = (n > 2) & F.element_at(labels, F.greatest(-n, F.lit(-2))).isin(*second_level) & (
         F.length(F.element_at(labels, -1)) == 2)
     suffix_n = F.when(two, 2).otherwise(1)
     cut = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
@@ -121,24 +129,29 @@ def beta_quantile(a: np.ndarray, b: np.ndarray, q: float, steps: int = 50) -> np
     return (low + high) / 2
 
 
-def reputation(outcomes: DataFrame, hosts: DataFrame, level: float = 0.1) -> DataFrame:
+def reputation(outcomes: DataFrame, hosts: DataFrame, level: float = 0.1,
+               second_level: tuple[str, ...] = SECOND_LEVEL) -> DataFrame:
     """``host`` of every known host with ``n, good, mean, bound``: the posterior of its pages being good.
 
     ``outcomes``: host, good (0 or 1) of labelled pages. ``hosts``: all hosts to judge.
     """
-    domain, suffix = domain_of(F.col("host"))
+    domain, suffix = domain_of(F.col("host"), second_level)
     counted = outcomes.groupBy("host").agg(F.sum("good").alias("good"), F.count("good").alias("n"))
     every = hosts.select("host").distinct().join(counted, "host", "left").select(
         "host", domain.alias("domain"), suffix.alias("suffix"),
         F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("n", F.lit(0)).alias("n"))
+    # Written, a row per host: all levels and their moments read this table and not the pages.
+    every = stored(every, "host-counts")
     sums = [F.sum("good").alias("good"), F.sum("n").alias("n")]
     domains = every.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
     top = suffixes.agg(*sums).select(
         ((F.coalesce("good", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)).alias("up"))
-    by_suffix = _shrunk(suffixes.join(F.broadcast(top)), "suffix", None)
+    domains = stored(domains, "domain-counts")
+    by_suffix = stored(_shrunk(suffixes.join(F.broadcast(top)), "suffix", None), "suffix-rates")
     by_domain = _shrunk(domains.join(by_suffix.select("suffix", F.col("mean").alias("up")), "suffix"),
                         "domain", "suffix")
+    by_domain = stored(by_domain, "domain-rates")
     by_host = _shrunk(every.join(by_domain.select("domain", "suffix", F.col("mean").alias("up")),
                                  ["domain", "suffix"]), "host", "domain")
 
@@ -152,7 +165,7 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, level: float = 0.1) -> Dat
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5,
-          level: float = 0.1) -> DataFrame:
+          level: float = 0.1, second_level: tuple[str, ...] = SECOND_LEVEL) -> DataFrame:
     """``page_id, url`` to ``page_id, host, path, rule, verdict, bound, mean, labelled``.
 
     ``outcomes``: page_id, good (0 or 1). A rule decides where one fits; else
@@ -163,7 +176,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES
     urls = urls.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     labelled = urls.join(outcomes.select("page_id", F.col("good").cast("long").alias("good")).where("good is not null")
                          .groupBy("page_id").agg(F.min("good").alias("good")), "page_id").select("host", "good")
-    scores = reputation(labelled, urls, level)
+    scores = stored(reputation(labelled, urls, level, second_level), "host-scores")
     return urls.join(scores, "host", "left").select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"),
         F.coalesce(F.col("fit.verdict"), F.when(F.col("bound") >= threshold, "allow").otherwise("block"))

@@ -2,14 +2,22 @@
 
 Two readers go over every whole text. The base patterns find key-value forms,
 access keys and long hexadecimal runs. The lexer reads source and
-configuration syntax (``name = "x"``, ``name: x``, ``"name": "x"``,
-``export NAME=x``, ``name := 'x'``) into pairs of a name and an expression of
-literals and names, carries the literals through the names they are assigned
-to, and scores every literal by the names it reaches and by its own form.
+configuration syntax into pairs of a name and an expression of literals and
+names, carries the literals through the names they are assigned to, and scores
+every literal by the names it reaches and by its own form. It knows
+``name = "x"``, ``name: x``, ``"name": "x"``, ``export NAME=x``,
+``name := 'x'``, chains (``a = b = "x"``: all names get the value),
+annotations (``a: str = "x"``: the annotated name gets it), subscripts and
+attributes (``env["NAME"] = "x"``, ``self.name = "x"``), lists and calls
+(``names = ["x", "y"]``, ``f("x")``: every literal in them), schemes
+(``Authorization: Bearer x``) and pairs of attributes
+(``key="name" value="x"``).
 
 Defined results: a null text counts as empty and has no spans; rows are
-independent, so repeated rows give repeated results; other columns are kept
-out. Work is linear in the text: an expression node is marked once.
+independent, so repeated rows and equal ids give repeated results; a literal
+that several names reach has the best score; long texts are read whole; an
+empty table gives no rows; other columns are kept out. Work is linear in the
+text: an expression node is marked once for each of the few weights.
 """
 
 from __future__ import annotations
@@ -37,16 +45,22 @@ KINDS = ["assign", "access", "hex", "literal"]
 #: How much a part of a target name says that its value is secret.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "credential": 0.9,
-    "credentials": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.6, "bearer": 0.8, "pin": 0.4,
-    "key": 0.5, "signature": 0.4, "salt": 0.5, "cookie": 0.4, "session": 0.4, "cert": 0.4, "conn": 0.3, "dsn": 0.5,
+    "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "encryptionkey": 1.0, "signingkey": 1.0, "secretkey": 1.0,
+    "sharedkey": 1.0, "masterkey": 0.9, "sessionkey": 0.9, "authkey": 0.9, "accountkey": 0.9, "auth": 0.7,
+    "authorization": 0.8, "bearer": 0.9, "passcode": 0.9, "salt": 0.7, "dsn": 0.7, "cookie": 0.6, "signature": 0.6,
 }
 _LEXEME = re.compile(
     r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
-    r"""|(?P<op>:=|=>|==|!=|<=|>=|=|:|\+|,|;|\(|\)|\[|\]|\{|\}|\n|\#|//)"""
-    r"""|(?P<word>[^\s"'`:=+,;()\[\]{}\#]+)""",
+    r"""|(?P<op>:=|=>|==|!=|<=|>=|=|:|\+|,|;|\(|\)|\[|\]|\{|\}|<|>|\n|\#|//)"""
+    r"""|(?P<word>[^\s"'`:=+,;()\[\]{}\#<>]+)""",
 )
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*\Z")
-_BREAK = {",", ";", "\n", "{", "}", "[", "]", "#", "//"}
+_ASSIGNS = {"=", ":", ":=", "=>"}
+_BREAK = {";", "\n", "{", "}", "#", "//", "<", ">"}
+_OPENS, _CLOSES = {"(": ")", "[": "]"}, {")", "]"}
+#: Fixed: words before a value that say what it is, and attributes that hold a name and its value.
+_SCHEMES = {"bearer", "basic", "token", "digest", "apikey"}
+_NAMING, _HOLDING = {"key", "name", "id"}, {"value"}
 
 
 class _Value:
@@ -59,10 +73,10 @@ class _Value:
 
 
 def name_weight(name: str) -> float:
-    """0 for an ordinary name, up to 1: the best of its parts, camel case and separators taken apart."""
-    words = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)
-    words = [w.lower() for w in words]
-    joined = [a + b for a, b in zip(words, words[1:])]
+    """0 for an ordinary name, up to 1: the best of its parts, plurals, camel case and separators taken apart."""
+    words = [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)]
+    words = [w[:-1] if w.endswith("s") and w[:-1] in SENSITIVE else w for w in words]
+    joined = [a + (b[:-1] if b == "keys" else b) for a, b in zip(words, words[1:])]
     return max((SENSITIVE.get(w, 0.0) for w in words + joined), default=0.0)
 
 
@@ -78,45 +92,103 @@ def literal_weight(text: str) -> float:
     return min(1.0, 0.5 * min(1.0, entropy / 3.5) + 0.15 * kinds + min(0.2, len(text) / 160))
 
 
-def assignments(text: str) -> Iterator[tuple[str, _Value]]:
-    """Name and expression of every assignment, in order of the text, with earlier names put in."""
-    known: dict[str, _Value] = {}
-    tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _LEXEME.finditer(text)]
-    i = 0
-    while i + 1 < len(tokens):
-        kind, lexeme, _, _ = tokens[i]
+class _Reader:
+    """Pairs of a name and its value, from the lexemes of a text, left to right."""
+
+    def __init__(self, text: str):
+        self.tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _LEXEME.finditer(text)]
+        self.known: dict[str, _Value] = {}
+
+    def _op(self, i: int, *ops: str) -> bool:
+        return i < len(self.tokens) and self.tokens[i][0] == "op" and self.tokens[i][1] in ops
+
+    def _name(self, i: int) -> tuple[str | None, int]:
+        """A target at ``i`` and the place behind it: a name, a quoted one, or a subscript of either kind."""
+        if i >= len(self.tokens) or self.tokens[i][0] == "op":
+            return None, i
+        kind, lexeme, _, _ = self.tokens[i]
         name = lexeme[1:-1] if kind == "string" else lexeme
-        if kind == "op" or tokens[i + 1][1] not in ("=", ":", ":=", "=>") or not _NAME.match(name):
-            i += 1
-            continue
-        i += 2
-        if i + 1 < len(tokens) and tokens[i][0] == "word" and tokens[i + 1][1] in ("=", ":="):
-            yield name, _Value()  # a type annotation, or a chain: a = b = "x" is read from b on
-            continue
+        if not _NAME.match(name):
+            return None, i
+        while self._op(i + 1, "[") and self._op(i + 3, "]") and self.tokens[i + 2][0] != "op":
+            inner = self.tokens[i + 2]
+            name = inner[1][1:-1] if inner[0] == "string" else name
+            i += 3
+        return name, i + 1
+
+    def pairs(self) -> Iterator[tuple[str, _Value]]:
+        i, tokens = 0, self.tokens
+        held = ""  # name that an attribute has given to the value attribute behind it
+        while i < len(tokens):
+            name, after = self._name(i)
+            if name is None or not self._op(after, *_ASSIGNS):
+                if self._op(i, "\n", "<", ">"):
+                    held = ""
+                i = max(after, i + 1)
+                continue
+            names, i = [name], after + 1
+            if self._op(after, ":") and i < len(tokens) and tokens[i][0] == "word":
+                # An annotation stands between a name and its value: name: kind = value.
+                kind, then = self._name(i)
+                if kind and self._op(then, "="):
+                    i = then + 1
+            while True:  # a = b = value
+                more, then = self._name(i)
+                if not more or not self._op(then, "=", ":="):
+                    break
+                names.append(more)
+                i = then + 1
+            value, i = self._value(i)
+            if held and name.lower() in _HOLDING:
+                names.append(held)
+            literal = next((p.text for p in value.parts if p.span), "")
+            held = literal if name.lower() in _NAMING and _NAME.match(literal) else held
+            for each in names:
+                self.known[each] = value
+                yield each, value
+
+    def _value(self, i: int) -> tuple[_Value, int]:
+        """Literals and known names of an expression; in brackets all of them, else as long as they are joined by +."""
         parts: list[_Value] = []
-        glued = True  # operands must follow each other or be joined by +
-        while i < len(tokens) and tokens[i][1] not in _BREAK:
+        open_: list[str] = []
+        glued, tokens = True, self.tokens
+        while i < len(tokens):
             kind, lexeme, start, end = tokens[i]
             if kind == "op":
-                glued = lexeme in ("+", "(")
-                if lexeme not in ("+", "(", ")"):
+                if lexeme in _BREAK and not (lexeme == "\n" and open_):
                     break
-            elif not glued:
+                if lexeme in _OPENS:
+                    open_.append(_OPENS[lexeme])
+                elif lexeme in _CLOSES:
+                    if not open_ or open_.pop() != lexeme:
+                        break
+                    glued = False
+                    i += 1
+                    continue
+                elif lexeme != "+" and not (lexeme in (",", "\n") and open_):
+                    break
+                glued = True
+            elif not glued and not open_:
                 break
+            elif open_ and self._op(i + 1, *_ASSIGNS):
+                break  # a pair of its own
             elif kind == "string":
                 parts.append(_Value((), (start + 1, end - 1), lexeme[1:-1]))
-                glued = True
+                glued = False
             else:
                 bare = lexeme.rstrip(".|")
-                if bare in known:
-                    parts.append(known[bare])
+                if bare in self.known:
+                    parts.append(self.known[bare])
                 elif not parts and re.search(r"[0-9]", bare) and len(bare) >= 8:
                     parts.append(_Value((), (start, start + len(bare)), bare))  # unquoted configuration value
-                glued = False
+                glued = bare.lower() in _SCHEMES
             i += 1
-        value = _Value(tuple(parts))
-        known[name] = value
-        yield name, value
+        return _Value(tuple(parts)), i
+
+
+def assignments(text: str) -> Iterator[tuple[str, _Value]]:
+    """Name and expression of every assignment, in order of the text, with earlier names put in."""
+    return _Reader(text).pairs()
 
 
 def literals(text: str, threshold: float = 0.55) -> list[tuple[int, int, float]]:

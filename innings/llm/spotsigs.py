@@ -58,6 +58,11 @@ def _alternatives(words: list[str]) -> str:
 _COMMON = rf" ({_alternatives(sorted(set(COMMON)))})(?= )"
 _SKIP = rf"(?: {_MARK}[^ ]+)*+ "
 _SPOT = rf" (?=({_MARK}[^ ]+{_SKIP}[^ ]+{_SKIP}[^ ]+) )"
+#: So many common words in a row; from here on the way of :func:`_runs` is taken, which looks at a run once.
+_LONG = rf"(?: {_MARK}[^ ]+){{64}}"
+_NEXT = "\x02"  # between a content word and the one after it
+_WITH_NEXT = rf" ([^ {_MARK}][^ ]*)(?={_SKIP}([^ ]+) )"
+_RUN = rf"((?: {_MARK}[^ ]+)++ [^ {_MARK}{_NEXT}]+{_NEXT}[^ ]+)"
 #: Ranges of ids for every shuffle partition.
 RANGES = 4
 
@@ -68,17 +73,32 @@ def plain(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, r"[\x09-\x0D ]+", " ")), F.lit(" "))
 
 
+def _runs(marked: Column) -> Column:
+    """The spots of a text with long runs of common words, in time linear in its length.
+
+    Every content word first gets the next one, then a run takes both from the content word behind it, and each of its
+    words is put before them.
+    """
+    nexts = F.regexp_replace(marked, _WITH_NEXT, f" $1{_NEXT}$2")
+    ends = F.transform(F.regexp_extract_all(nexts, F.lit(_RUN), 1), lambda r: F.struct(
+        F.filter(F.split(r, " "), lambda w: w.startswith(_MARK)).alias("anchors"),
+        F.translate(F.substring_index(r, " ", -1), _NEXT, " ").alias("behind")))
+    return F.flatten(F.transform(ends, lambda e: F.transform(e["anchors"], lambda a: F.concat_ws(" ", a, e["behind"]))))
+
+
 def with_signatures(rows: DataFrame, text: str, to: str) -> DataFrame:
     """Adds the sorted distinct signatures of a text. In steps, so that no step is evaluated twice."""
     rows = rows.withColumn("_words", plain(F.col(text)))
-    spots = F.regexp_extract_all(F.regexp_replace("_words", _COMMON, f" {_MARK}$1"), F.lit(_SPOT), 1)
+    rows = rows.withColumn("_marked", F.regexp_replace("_words", _COMMON, f" {_MARK}$1"))
+    spots = F.when(F.col("_marked").rlike(_LONG), _runs(F.col("_marked"))).otherwise(
+        F.regexp_extract_all("_marked", F.lit(_SPOT), 1))
     rows = rows.withColumn("_spots", F.array_join(spots, "\n"))
     chains = F.split(F.translate(F.regexp_replace("_spots", rf"(?<= ){_MARK}[^ ]+ ", ""), _MARK, ""), "\n")
     chains = F.when(F.col("_spots") != "", chains).when(
         F.col("_words") != "  ", F.array(F.concat(F.lit("="), F.trim("_words")))).otherwise(
         F.array().cast("array<string>"))
     hashed = F.sort_array(F.array_distinct(F.transform(chains, lambda c: F.substring(F.md5(c), 1, 8))))
-    return rows.withColumn(to, hashed).drop("_words", "_spots")
+    return rows.withColumn(to, hashed).drop("_words", "_marked", "_spots")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -97,6 +97,38 @@ def test_secrets(spark, empty):
     assert secrets.scan(empty).count() == 0
 
 
+LITERALS = {  # a line, and the literals that its names make secret
+    'password: str = "Zx9kLm3QpR7tAb"': ["Zx9kLm3QpR7tAb"], 'os.environ["DB_PASSWORD"] = "Zx9kLm3QpR7tAb"': ["Zx9kLm3QpR7tAb"],
+    'passwords = ["Zx9kLm3QpR7tAb", "Qw8rTz1yUi2oPa"]': ["Zx9kLm3QpR7tAb", "Qw8rTz1yUi2oPa"],
+    'encryption_key = "Zx9kLm3QpR7tAb"': ["Zx9kLm3QpR7tAb"], 'signing_key = "Zx9kLm3QpR7tAb"': ["Zx9kLm3QpR7tAb"],
+    "Authorization: Bearer Zx9kLm3QpR7tAb": ["Zx9kLm3QpR7tAb"],
+    '<add key="DbPassword" value="Zx9kLm3QpR7tAb"/>': ["Zx9kLm3QpR7tAb"],
+    'db_password = backup = "Zx9kLm3QpR7tAb"': ["Zx9kLm3QpR7tAb"], 'backup = db_password = "Zx9kLm3QpR7tAb"': ["Zx9kLm3QpR7tAb"],
+    'const authToken: string = "Zx9kLm3QpR7tAb"': ["Zx9kLm3QpR7tAb"], 'self.api_token = decode("Zx9kLm3QpR7tAb")': ["Zx9kLm3QpR7tAb"],
+    'salts = [\n  "Zx9kLm3QpR7tAb",\n]\nname = "Qw8rTz1yUi2oPa"': ["Zx9kLm3QpR7tAb"],
+    'cfg = {"user": "Zx9kLm3QpR7tAb", "client_secret": "Qw8rTz1yUi2oPa"}': ["Qw8rTz1yUi2oPa"],
+    'colour = "Zx9kLm3QpR7tAb"': [], 'names = ["Zx9kLm3QpR7tAb"]': [], '<add key="Theme" value="Zx9kLm3QpR7tAb"/>': [],
+    'password = input("Please type it in now")': [], 'key = "Zx9kLm3QpR7tAb"': [], 'note: see the token of Friday': [],
+    'token = "changeme123"': [], 'x["plain"] = "Zx9kLm3QpR7tAb"': [], 'keyboard = "Zx9kLm3QpR7tAb"': [],
+    'x = [[["a = b': [], "a = [" * 2000 + '"Zx9kLm3QpR7tAb"': [],
+}
+
+
+@pytest.mark.parametrize("line", LITERALS)
+def test_literals_by_the_names_they_reach(line):
+    assert [line[a:z] for a, z, _ in secrets.literals(line)] == LITERALS[line]
+
+
+def test_secrets_of_repeated_ids_and_clashing_columns(spark):
+    line = 'password: str = "Zx9kLm3QpR7tAb"'
+    rows = [(1, line, "a", 1), (1, line, "b", 2), (None, line, None, 3), (2, None, None, 4), (3, "", "", 5)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, spans string, n_hex int")).collect()
+    assert sorted((str(r["doc_id"]), r["spans"], r["n_hex"]) for r in got) == [
+        ("1", "literal:17:31", 0), ("1", "literal:17:31", 0), ("2", "", 0), ("3", "", 0), ("None", "literal:17:31", 0)]
+    long = "x = 1\n" * 200_000 + line
+    assert secrets.literals(long)[0][:2] == (len(long) - 15, len(long) - 1)
+
+
 URLS = ["http://A.Example.com/en/1", "https://www.example.com/en/2?x", "http://x.example.com/de/", "http://example.com",
         "ftp://good.org/a#b", "http://bad.org:80/a", "http://n.net/es/1", "http://n.net/en/", None, "nothing", "://?q",
         "http://notexample.com/en/", "http://good.org/a", "http://good.org/b", "http://good.org/a"]
@@ -120,6 +152,61 @@ def test_reputation(spark):
     assert reputation.judge(pages, outcomes.limit(0)).count() == len(URLS)
 
 
+def test_reputation_by_plain_sums(spark):
+    """Posterior bounds level by level: moments, shrinkage and quantile as in a loop over hosts."""
+    import numpy as np
+
+    rng = random.Random(6)
+    hosts = [f"h{i % 7}.d{i % 5}.{s}" for i in range(40) for s in ("org", "net", "co.uk")] + ["d1.org", "single", ""]
+    urls = [f"http://{rng.choice(hosts)}/p{i}?{'x' * (i % 3 * 9000)}" for i in range(900)] + [None]
+    good = {i: int(rng.random() < (0.9 if "org" in (urls[i] or "") else 0.3)) for i in range(0, 900, 2)}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = spark.createDataFrame([*good.items(), (2, 0), (2, 0)], "page_id long, good int")
+    good[2] = 0
+
+    def parts(host):
+        labels = host.split(".")
+        k = 2 if len(labels) > 2 and labels[-2] in ("co", "com", "org") and len(labels[-1]) == 2 else 1
+        return ".".join(labels[-k - 1:]), ".".join(labels[-k:])
+
+    of = {i: (u.split("://")[1].split("/")[0] if u else "") for i, u in enumerate(urls)}
+    count = {h: [sum(good[i] for i in good if of[i] == h), sum(of[i] == h for i in good)] for h in set(of.values())}
+
+    def summed(rows, up):
+        out = {}
+        for name, (g, n) in rows.items():
+            a, b = out.setdefault(up(name), [0, 0])
+            out[up(name)] = [a + g, b + n]
+        return out
+
+    def shrunk(rows, mean):
+        seen = [(g, n, mean(k)) for k, (g, n) in rows.items() if n]
+        spread = sum(n * (g / n - m) ** 2 for g, n, m in seen)
+        noise = sum(m * (1 - m) for _, _, m in seen)
+        scale = sum(n * m * (1 - m) for _, n, m in seen)
+        strength = max(1.0, min(1000.0, (scale - noise) / (spread - noise) - 1)) if spread > noise and scale > noise else 1000.0
+        return strength, {k: (g + strength * mean(k)) / (n + strength) for k, (g, n) in rows.items()}
+
+    domains = summed({h: c for h, c in count.items()}, lambda h: parts(h))
+    suffixes = summed(domains, lambda d: d[1])
+    total = [sum(c) for c in zip(*suffixes.values())]
+    top = (total[0] + 1) / (total[1] + 2)
+    _, by_suffix = shrunk(suffixes, lambda s: top)
+    _, by_domain = shrunk(domains, lambda d: by_suffix[d[1]])
+    strength, by_host = shrunk(count, lambda h: by_domain[parts(h)])
+    got = as_dict(reputation.judge(pages, outcomes, rules=()), "page_id")
+    prior = {h: strength * by_domain[parts(h)] for h in count}
+    quantiles = reputation.beta_quantile(np.array([g + prior[h] for h, (g, _) in count.items()]), np.array(
+        [n - g + strength - prior[h] for h, (g, n) in count.items()]), 0.1)
+    bounds = dict(zip(count, quantiles))
+    for i, r in got.items():
+        n, bound = count[of[i]][1], bounds[of[i]]
+        assert (r["host"], r["labelled"]) == (of[i], n)
+        assert math.isclose(r["mean"], by_host[of[i]], abs_tol=1e-8) and math.isclose(r["bound"], bound, abs_tol=1e-8)
+        assert r["verdict"] == ("allow" if bound >= 0.5 else "block")
+    assert {r["verdict"] for r in got.values()} == {"allow", "block"}
+
+
 def test_beta_quantile():
     import numpy as np
 
@@ -549,6 +636,25 @@ def test_fingerprints(spark, empty):
     assert spotsigs.fingerprints(df.limit(1)).first()["near_next"] == 1.0
 
 
+def test_fingerprints_of_long_runs_of_common_words(spark):
+    """As by brute force, and a text of a megabyte of common words in seconds."""
+    import time
+
+    rng = random.Random(8)
+    some = ["the", "of", "und", "la", "a"]
+    run = lambda n: [rng.choice(some) for _ in range(n)]
+    rows = [" ".join(run(100) + ["alpha"] + run(70) + ["beta", "gamma"] + run(3) + ["delta"] + run(200)),
+            " ".join(run(64) + ["one"]), " ".join(["x", "y"] + run(65) + ["z", "x"]), "the " * 80 + "big red dog and a big red dog",
+            "the " * 250_000 + "end here"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    begin = time.time()
+    got = as_dict(spotsigs.fingerprints(df))
+    assert time.time() - begin < 30
+    for i, text in enumerate(rows[:-1]):
+        assert got[i]["fingerprint"] == ",".join(prints_by_brute_force(text))
+    assert got[4]["fingerprint"] == ",".join(prints_by_brute_force("the end here"))
+
+
 @pytest.mark.parametrize("percent", [80, 60])
 def test_similar_groups(spark, docs, empty, percent):
     rng = random.Random(3)
