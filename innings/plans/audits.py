@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from innings.operators import audit as A
 from innings.operators import quality as Qy
+from innings.operators import sketches as Sk
 from innings.operators.keyed import distinct_sorted
 from innings.plans.registry import query
 from innings.plans.sql import isum, isum_if, sql
+from innings.session import stored
 from innings.sources import raw
 from innings.sources.adapter import deliveries, matches, sequenced, table, with_teams
 
@@ -206,3 +208,23 @@ def events_sessions(spark, sf):
     return sessionize(table(spark, sf, "events"), "user_id", "ts", 1800).select(
         "user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
         F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+_RANKS = [0.5, 0.95]
+
+
+@query("sketch_report", f"""
+SELECT event_type, COUNT(*) AS n, TRUE AS p50_within, TRUE AS p95_within, TRUE AS users_within FROM events GROUP BY 1""")
+def sketch_report(spark, sf):
+    """Daily sketches, stored, merged per event type; every figure is held against the exact ranks and counts."""
+    events = table(spark, sf, "events")
+    days = stored(Sk.daily_sketches(events, "ts", ["event_type"], "value", "user_id"), "sketches")
+    found = stored(Sk.report(days, ["event_type"], _RANKS), "sketch-report")
+    sides = events.join(found, "event_type").groupBy("event_type").agg(
+        F.first("n").alias("n"), F.first("n_distinct").alias("guess"), F.count_distinct("user_id").alias("users"),
+        *[F.avg((F.col("value") < F.col(p)).cast("double")).alias(f"{p}_below") for p in ("p50", "p95")],
+        *[F.avg((F.col("value") <= F.col(p)).cast("double")).alias(f"{p}_upto") for p in ("p50", "p95")])
+    within = [((F.col(f"p{round(r * 100)}_below") <= r + Sk.RANK_ERROR) & (F.col(f"p{round(r * 100)}_upto") >= r - Sk.RANK_ERROR))
+              .alias(f"p{round(r * 100)}_within") for r in _RANKS]
+    return sides.select("event_type", "n", *within, (
+        F.abs(F.col("guess") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * Sk.COUNT_ERROR)).alias("users_within"))

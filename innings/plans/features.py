@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from innings.functions import scalars as S
 from innings.operators import features as X
 from innings.operators import windows as W
+from innings.operators.asof import asof_join
+from innings.operators.ordered import match_block, running
 from innings.plans.aggregates import venue_table
 from innings.plans.registry import query
 from innings.plans.sql import add_block, even, isum, sql
@@ -240,3 +242,20 @@ def team_normalise(spark, sf):
     old = S.literal_map({"Team 0": "Deccan Chargers", "Team 1": "Delhi Daredevils"})
     named = matches(spark, sf).select("id", F.coalesce(F.try_element_at(old, F.col("team1")), "team1").alias("team1"))
     return S.normalise_teams(named, ["team1"])
+
+
+@query("asof_h2h", sql("d", f"""
+, ver AS (SELECT batter, bowler, match_id, SUM(SUM(batsman_runs)) OVER w AS runs, SUM(COUNT(*)) OVER w AS balls FROM d
+  GROUP BY 1, 2, 3 WINDOW w AS (PARTITION BY batter, bowler ORDER BY match_id))
+SELECT d.match_id, d.seq, CAST(v.runs AS BIGINT) AS runs, CAST(v.balls AS BIGINT) AS balls
+FROM d ASOF LEFT JOIN ver v ON v.batter = d.batter AND v.bowler = d.bowler AND v.match_id < d.match_id"""))
+def asof_h2h(spark, sf):
+    """The pair's record as it stood before the match, looked up in the versions that each match left."""
+    balls = deliveries(spark, sf)
+    per_match = balls.groupBy("batter", "bowler", "match_id").agg(
+        F.sum("batsman_runs").alias("r"), F.count(F.lit(1)).alias("b")).withColumn("_block", match_block())
+    versions = running(per_match, ["batter", "bowler"], ["match_id"], [["_block"]],
+                       {"runs": F.col("r"), "balls": F.col("b")})
+    asked = sequenced(spark, sf).rows.select("batter", "bowler", "match_id", "seq")
+    return asof_join(asked, versions, ["batter", "bowler"], "match_id", ["runs", "balls"]).select(
+        "match_id", "seq", "runs", "balls")

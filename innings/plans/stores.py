@@ -10,7 +10,7 @@ from innings.plans.sql import isum, sql
 from innings.plans.texts import doc_corpus
 from innings.session import new_folder
 from innings.sources import ingest, schemas, tables
-from innings.sources.adapter import matches, sequenced, with_teams
+from innings.sources.adapter import matches, sequenced, table, with_teams
 
 CUT = 2000  # the per-match files count from this year on
 
@@ -108,3 +108,30 @@ def feature_drift(spark, sf):
     assert missing == ["phase_enc"]
     return filled.select("match_id", "seq", F.col("over").cast("double").alias("over"),
                          F.col("phase_enc").cast("double").alias("phase_enc"))
+
+
+@query("golden_questions", "SELECT text AS question, 'item ' || item_id AS ground_truth FROM benchmark")
+def golden_questions(spark, sf):
+    """Questions as arrays of a few JSON files, read back."""
+    items = table(spark, sf, "benchmark").select((F.col("item_id") % 4).alias("part"), F.struct(
+        F.col("text").alias("question"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("ground_truth")).alias("q"))
+    path = new_folder(spark, "golden")
+    arrays = items.groupBy("part").agg(F.to_json(F.collect_list("q")).alias("value"))
+    arrays.repartition("part").write.partitionBy("part").text(path)
+    return tables.read_golden(spark, f"{path}/*/")
+
+
+@query("metric_records", """
+SELECT 0.0::DOUBLE AS faithfulness, 0.0::DOUBLE AS answer_relevancy, round(AVG(quality), 6) AS context_precision,
+ round(AVG(toxic), 6) AS context_recall, source AS last_evaluated,
+ CAST(COUNT(*) AS INTEGER) AS total_questions
+FROM labels JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY source""")
+def metric_records(spark, sf):
+    """A record per source that lacks some figures; absent ones read as zero."""
+    joined = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").where("source is not null")
+    figures = joined.groupBy("source").agg(
+        F.round(F.avg("quality"), 6).alias("context_precision"), F.round(F.avg("toxic"), 6).alias("context_recall"),
+        F.count(F.lit(1)).alias("total_questions"))
+    path = new_folder(spark, "metrics")
+    figures.withColumn("last_evaluated", F.col("source")).repartition("source").write.partitionBy("source").json(path)
+    return tables.read_metrics(spark, f"{path}/*/")

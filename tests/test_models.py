@@ -41,7 +41,7 @@ def wins(spark):
 def test_win_model_search_calibration_and_attribution(spark, wins, tmp_path):
     grid = [{"maxIter": 3, "maxDepth": 2, "featureSubset": 0.9}, {"maxIter": 2, "maxDepth": 1}]
     model, best = M.train_win_model(wins, grid, folds=2)
-    assert best["score"] > 0.9 and best["params"] in grid
+    assert best["score"] > 0.9 and best["params"] in grid and 1 <= best["rounds"] <= best["params"]["maxIter"]
     scores = M.out_of_fold_scores(wins, {"maxIter": 2, "maxDepth": 2}, folds=2)
     assert scores.count() == 200
     iso = M.calibrate(scores)
@@ -50,7 +50,7 @@ def test_win_model_search_calibration_and_attribution(spark, wins, tmp_path):
     asked = wins.withColumnRenamed("id", "request_id")
     for r in M.predict_win(model, asked, iso).collect():
         assert 0 <= r["team1_win_prob"] <= 1 and r["team1_win_prob"] + r["team2_win_prob"] == pytest.approx(1, abs=1e-6)
-    top = M.attribution(model, asked, wins).collect()
+    top = M.attribution(model, asked).collect()
     assert len(top) == 600 and all(r["feature"] == "team1_form" for r in top if r["position"] == 1 and r["magnitude"] > 0.2)
     M.save_model(model, X.WIN_FEATURES, str(tmp_path / "m"))
     again, names = M.load_model(str(tmp_path / "m"))
@@ -58,6 +58,63 @@ def test_win_model_search_calibration_and_attribution(spark, wins, tmp_path):
     assert M.score(again, wins, names).orderBy("id").collect() == M.score(model, wins, names).orderBy("id").collect()
 
 
+def test_folds_hold_equal_parts_of_every_class(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 == 0, 1).when(F.col("id") < 37, None).otherwise(0).alias("label"))
+    got = M.with_folds(df.repartition(5), ["id"], 5).cache()
+    n = {(r["label"], r["fold"]): r["count"] for r in got.groupBy("label", "fold").count().collect()}
+    for label in (0, 1, None):
+        parts = [n.get((label, f), 0) for f in range(5)]
+        assert max(parts) - min(parts) <= 1
+    assert got.count() == 3000 and got.columns == ["id", "label", "fold"]
+    again = {r["id"]: r["fold"] for r in M.with_folds(df.repartition(2), ["id"], 5).collect()}
+    assert again == {r["id"]: r["fold"] for r in got.collect()}
+
+
+def test_early_stopping_ends_a_search_of_many_rounds(spark, wins):
+    noise = wins.withColumn("label", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(2)).cast("int"))
+    _, best = M.train_win_model(noise, [{"maxIter": 200, "maxDepth": 2}], folds=2)
+    assert best["rounds"] < 60
+
+
+def test_contributions_against_all_subsets(spark, wins):
+    """Shapley values by their definition: every set of known features, unknown ones weighted by training rows."""
+    from itertools import combinations
+    from math import factorial
+
+    import numpy as np
+
+    from innings.operators import contributions as K
+
+    mixed = wins.withColumn("label", ((F.col("team1_form") + F.col("team2_form") * F.col("h2h_win_pct")) > 0.7).cast("int"))
+    model, _ = M.train_win_model(mixed, [{"maxIter": 4, "maxDepth": 4}], folds=2)
+    every = K.leaves(model)
+    rows = mixed.orderBy("id").limit(12).toPandas()
+    x = rows[X.WIN_FEATURES].to_numpy(float)
+
+    def value(row, known):
+        total = 0.0
+        for leaf in every:
+            part = leaf.value
+            for f, low, high, share in zip(leaf.features, leaf.low, leaf.high, leaf.share):
+                part *= float(low < row[f] <= high) if f in known else share
+            total += part
+        return total
+
+    n = len(X.WIN_FEATURES)
+    got = K.shapley(every, x)
+    for row, values in zip(x[:4], got[:4]):
+        worth = {s: value(row, s) for k in range(n + 1) for s in combinations(range(n), k)}
+        for f in range(n):
+            want = sum(factorial(len(s)) * factorial(n - len(s) - 1) / factorial(n)
+                       * (worth[tuple(sorted((*s, f)))] - w) for s, w in worth.items() if f not in s)
+            assert values[f] == pytest.approx(want, abs=1e-9)
+    scored = model.transform(spark.createDataFrame(rows)).orderBy("id").collect()
+    margins = [r["rawPrediction"][1] for r in scored]
+    assert K.base(every) + got.sum(1) == pytest.approx(margins, abs=1e-9)
+    told = K.contributions(model, mixed, X.WIN_FEATURES, ["id"]).groupBy("id").agg(F.sum("value"), F.first("margin"))
+    assert all(r[1] + K.base(every) == pytest.approx(r[2]) for r in told.collect())
+
+
 def test_intent_scores(spark):
     n = F.xxhash64("seq")
     df = spark.range(400).select(F.lit(1).alias("match_id"), F.col("id").alias("seq"), F.lit(10).alias("h2h_balls")).withColumns({
