@@ -77,10 +77,6 @@ def with_total_runs(df: DataFrame) -> DataFrame:
     return df.withColumn("total_runs", parts[0] + parts[1])
 
 
-def require_keys(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.dropna(subset=cols)
-
-
 # ---- labels ---------------------------------------------------------------
 
 def intent_label(runs: str = "batsman_runs", extras: str = "extra_runs", dismissal: str = "dismissal_kind") -> Column:

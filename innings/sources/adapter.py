@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from innings.functions.scalars import is_wicket, phase
 from innings.operators.ordered import HOT_ROWS, HOT_SHARE, Sequenced, hot_keys, running, with_chunk
+from innings.session import stored
 
 # The full row order of a match; rows of the line table are all distinct on it.
 ROW_ORDER = [
@@ -124,6 +125,17 @@ def deliveries(spark: SparkSession, sf_dir: str, teams: bool = False) -> DataFra
     return with_teams(balls, matches(spark, sf_dir)) if teams else balls
 
 
+_HOT: dict[tuple, DataFrame] = {}
+
+
+def _hot_matches(spark: SparkSession, sf_dir: str, share: float, floor: int) -> DataFrame:
+    """The hot matches of a folder of tables: counted once per session and stored, then shared by all queries."""
+    at = (spark.sparkContext.applicationId, sf_dir, share, floor)
+    if at not in _HOT:
+        _HOT[at] = stored(hot_keys(_lines(spark, sf_dir), "match_id", share, floor), "hot-matches")
+    return _HOT[at]
+
+
 def sequenced(spark: SparkSession, sf_dir: str, share: float = HOT_SHARE, floor: int = HOT_ROWS) -> Sequenced:
     """Balls with their position in the match.
 
@@ -132,7 +144,7 @@ def sequenced(spark: SparkSession, sf_dir: str, share: float = HOT_SHARE, floor:
     shifted by the size of the slices before it.
     """
     lines = _lines(spark, sf_dir)
-    hot = F.broadcast(hot_keys(lines, "match_id", share, floor).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(_hot_matches(spark, sf_dir, share, floor).withColumn("_hot", F.lit(True)))
     some = _cut(lines.join(hot, "match_id"))
 
     def numbered(cut: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from innings.functions import scalars as S
 from innings.operators.keyed import dedup_keep_last
 from innings.operators.ordered import last_n
 
+# The columns that a ball file must have.
 REQUIRED_BALL_COLUMNS = ["innings", "ball", "batting_team", "bowling_team", "striker"]
 # The match facts taken from a companion info file.
 INFO_KEYS = ["winner", "venue", "city", "toss_winner", "toss_decision", "player_of_match", "date"]
@@ -23,6 +24,7 @@ DELIVERY_ALIASES = {
     "dismissal_kind": ["dismissal_kind", "wicket_type"],
 }
 MATCH_ALIASES = {"id": ["id", "match_id"]}
+# What an absent match column holds.
 MATCH_DEFAULTS = {
     "target_runs": 0, "win_by_runs": 0, "win_by_wickets": 0, "player_of_match": None, "dl_applied": False,
     "city": None, "venue": None, "toss_decision": None,
