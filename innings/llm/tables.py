@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from innings.session import stored
 
-__all__ = ["hashed", "possible", "stored", "table", "remainder"]
+__all__ = ["absent", "hashed", "possible", "stored", "table", "remainder"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +39,19 @@ def possible(rows: DataFrame, keys: DataFrame, columns: list[str], bits: int = 2
     byte = F.conv(F.hex(F.substring("_set", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     on = place(rows).join(F.broadcast(pieces), F.bitmap_bucket_number("_hash") == F.col("_piece"))
     return on.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_hash", "_piece", "_set")
+
+
+def absent(rows: DataFrame, keys: DataFrame, columns: list[str], bits: int = 27) -> DataFrame:
+    """The rows whose ``columns`` (never null) are not among ``keys``: rows that a set of bits rules out stay where they
+    lie, only the others move to a join. The set is that of :func:`possible`; ``keys`` is best a stored table."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(1 << bits))
+    pieces = keys.withColumn("_hash", place).groupBy(F.bitmap_bucket_number("_hash").alias("_piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_hash")).alias("_set"))
+    at = F.bitmap_bit_position("_hash")
+    byte = F.conv(F.hex(F.substring("_set", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    rows = rows.withColumn("_hash", place)
+    marked = rows.join(F.broadcast(pieces), F.bitmap_bucket_number("_hash") == F.col("_piece"), "left").withColumn(
+        "_may", may).drop("_hash", "_piece", "_set")
+    moved = marked.where("_may").join(keys, columns, "left_anti")
+    return marked.where("not _may").unionByName(moved).drop("_may")

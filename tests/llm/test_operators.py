@@ -502,7 +502,7 @@ def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, ""), (10, "too short"), (11, " ".join(item))],
                                   "item_id long, text string")
     every = docs.unionByName(rows, allowMissingColumns=True)
-    for s in (decontamination.Settings(), decontamination.Settings(block_bytes=40)):  # one block, or several
+    for s in (decontamination.Settings(), decontamination.Settings(bits=6)):  # the bit set rules words out, or none
         got = decontamination.matches(every, items, s).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == {(1000 + i, k) for i in (0, 1, 4) for k in (7, 11)}
         exact = [r for r in got if r["doc_id"] == 1000]
@@ -532,13 +532,56 @@ def test_decontamination_of_passages_and_edited_copies(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([middle, long, edited, common])],
                                   "item_id long, text string")
-    for options in ({}, {"hits": 20}):
-        found = decontamination.matches(docs, items, decontamination.Settings(**options))
-        got = {(r["doc_id"], r["item_id"]): r for r in found.collect()}
-        assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 0)}
-        assert [(got[k]["first_word"], got[k]["last_word"]) for k in ((0, 0), (1, 1), (4, 0))] == [
-            (30, 57), (30, 430), (30, 47)]
-        assert got[0, 0]["score"] == round(27 / 59, 6) and got[2, 2]["score"] >= 0.74
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.matches(docs, items).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 0)}
+    assert [(got[k]["first_word"], got[k]["last_word"]) for k in ((0, 0), (1, 1), (4, 0))] == [
+        (30, 57), (30, 430), (30, 47)]
+    assert got[0, 0]["score"] == round(27 / 59, 6) and got[2, 2]["score"] >= 0.74
+
+
+def test_decontamination_against_alignment_of_all_pairs(spark):
+    """Every text against every item without seeds; few different words, so that common pairs abound."""
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    say = lambda n: [f"v{min(rng.randrange(60), rng.randrange(60))}" for _ in range(n)]
+    items = [say(n) for n in (3, 5, 8, 12, 13, 14, 20, 40, 90) for _ in range(4)]
+    texts = [say(rng.randrange(1, 120)) for _ in range(60)]
+    for item in items:
+        for share in (0.0, 0.1, 0.2, 0.3):
+            copy = []
+            for word in item:
+                kind = rng.random() / share if share else 1
+                copy += [word] if kind >= 1 else [] if kind < 0.3 else say(1) if kind < 0.7 else [word, *say(1)]
+            a = rng.randrange(max(1, len(copy) // 2))
+            texts.append(say(20) + (copy if rng.random() < 0.7 else copy[a:]) + say(20))
+    s = decontamination.Settings()
+    hashes = lambda words: decontamination._split(pa.array([" ".join(words)])).hashes()
+    wanted = set()
+    for d, text in enumerate(map(hashes, texts)):
+        for i, item in enumerate(map(hashes, items)):
+            score = decontamination.align(item, text, s)[0]
+            if score >= s.threshold * s.match * len(item) or decontamination.align(item, text, s.strict)[0] >= s.passage:
+                wanted.add((d, i))
+    frame = lambda rows, name: spark.createDataFrame(
+        [(i, " ".join(w)) for i, w in enumerate(rows)], f"{name} long, text string")
+    found = decontamination.matches(frame(texts, "doc_id"), frame(items, "item_id"), s).collect()
+    got = [(r["doc_id"], r["item_id"]) for r in found]
+    assert len(got) == len(set(got)) and len(wanted) > 150
+    missed = wanted - set(got)
+    assert set(got) <= wanted and len([x for x in missed if len(items[x[1]]) >= 6]) == 0, missed
+
+
+def test_decontamination_of_null_and_repeated_ids(spark):
+    item = " ".join(f"k{i}" for i in range(20))
+    rows = [(None, item, 1), (None, "none of it", 2), (5, item, 3), (5, "other words", 4), (5, item, 5), (6, None, 6),
+            (7, "", 7), (None, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(None, item), (2, item), (3, "a b")], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontamination.matches(docs, items).collect()]
+    assert sorted(got, key=str) == sorted([(d, i) for d in (None, 5, 5) for i in (None, 2)], key=str)
+    kept = decontamination.clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r["item_id"] for r in kept.collect()) == [2, 4, 6, 7, 8]
 
 
 def test_alignment_against_plain_table():
