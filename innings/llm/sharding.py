@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from innings.llm.tables import stored
 from innings.session import new_folder
+from innings.sources.tables import read_current, write_version
 
 #: Virtual slots; the map and the sums per slot have this many rows whatever the data.
 SLOTS = 8192
@@ -57,12 +58,15 @@ def even_map(sizes: list[int], n_shards: int, n_slots: int = SLOTS) -> list[int]
 
 
 def rebalanced(held: list[int], sizes: list[int], n_shards: int) -> list[int]:
-    """The map edited for new sizes or more shards: slots leave the fullest shard only while that lowers the spread."""
+    """The map edited for new sizes or another number of shards: slots leave the fullest shard only while that lowers
+    the spread; those of shards that are no more go to the emptiest ones, the largest first."""
     sizes = sizes + [0] * (len(held) - len(sizes))
     held, totals, mine = list(held), [0] * n_shards, [[] for _ in range(n_shards)]
-    for slot, shard in enumerate(held):
-        totals[shard] += sizes[slot]
-        mine[shard].append((sizes[slot], slot))
+    for slot in sorted(range(len(held)), key=lambda s: (held[s] >= n_shards, -sizes[s], s)):
+        if held[slot] >= n_shards:
+            held[slot] = min(range(n_shards), key=lambda k: (totals[k], len(mine[k])))
+        totals[held[slot]] += sizes[slot]
+        mine[held[slot]].append((sizes[slot], slot))
     for own in mine:
         own.sort()
     for _ in range(len(held)):
@@ -80,14 +84,20 @@ def rebalanced(held: list[int], sizes: list[int], n_shards: int) -> list[int]:
     return held
 
 
-def store_map(spark: SparkSession, held: list[int], version: int, path: str) -> DataFrame:
-    """Writes one version of the map (``slot, shard, version``) and returns it as stored."""
+def store_map(spark: SparkSession, held: list[int], root: str) -> DataFrame:
+    """Writes the next version of the map (``vslot, shard``) below ``root`` and returns it as stored.
+
+    Its number is claimed by one writer, and no version is ever overwritten.
+    """
     frame = spark.range(len(held)).select(
-        F.col("id").cast("int").alias("vslot"),
-        F.element_at(F.lit(held), F.col("id").cast("int") + 1).alias("shard"),
-        F.lit(version).alias("version"))
-    frame.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
-    return spark.read.schema("vslot int, shard int").parquet(f"{path}/version={version}")
+        F.col("id").cast("int").alias("vslot"), F.element_at(F.lit(held), F.col("id").cast("int") + 1).alias("shard"))
+    return spark.read.schema("vslot int, shard int").parquet(write_version(frame.coalesce(1), root))
+
+
+def load_map(spark: SparkSession, root: str) -> list[int] | None:
+    """The last version of the map below ``root``, a number per slot; None if there is none."""
+    stored_map = read_current(spark, root)
+    return None if stored_map is None else [r["shard"] for r in sorted(stored_map.collect(), key=lambda r: r["vslot"])]
 
 
 def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -101,15 +111,22 @@ def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
         *rows.columns, "shard", (F.col("first") + F.col("n") - 1).cast("long").alias("slot"))
 
 
-def shard(docs: DataFrame, n_shards: int = 24, n_slots: int = SLOTS) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 24, n_slots: int = SLOTS, maps: str | None = None) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot`` of every document.
 
     The law is ``bytes``: the map is dealt by bytes per slot, so shards have
-    nearly equal sizes; ``grown_shard`` is null under it.
+    nearly equal sizes; ``grown_shard`` is null under it. With ``maps``, a folder
+    that lasts, the last map there is edited for the new sizes and stored as the
+    next version, so most records stay where they are; a map of another number
+    of slots is an error. Without, every run deals its own.
     """
     spark = docs.sparkSession
     rows = stored(slotted(docs, n_slots), "shard-rows")
-    slot_map = store_map(spark, even_map(slot_bytes(rows), n_shards, n_slots), 1, new_folder(spark, "slot-map"))
+    sizes, held = slot_bytes(rows), load_map(spark, maps) if maps else None
+    if held is not None and len(held) != n_slots:
+        raise ValueError(f"the stored map has {len(held)} slots, not {n_slots}")
+    edited = even_map(sizes, n_shards, n_slots) if held is None else rebalanced(held, sizes, n_shards)
+    slot_map = store_map(spark, edited, maps or new_folder(spark, "slot-map"))
     return placed(rows, slot_map).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "vslot")

@@ -476,6 +476,26 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_stored_map_keeps_records_in_place(spark, tmp_path):
+    """New rows, a shard more and a shard less: each run edits the last map and stores the next version."""
+    rows = [(i, "x" * (i * 37 % 500)) for i in range(2000)] + [(None, "y"), (None, None)]
+    every = spark.createDataFrame(rows, "doc_id long, text string")
+    maps = str(tmp_path / "maps")
+    run = lambda docs, n: {r["doc_id"]: (r["shard"], r["size"]) for r in sharding.shard(
+        docs, n, 256, maps).collect()}
+    first, again = run(every.where("doc_id < 1900"), 6), run(every, 6)
+    assert sum(first[i][0] != again[i][0] for i in first) < len(first) / 10
+    more, fewer = run(every, 7), run(every, 5)
+    assert {s for s, _ in more.values()} == set(range(7)) and {s for s, _ in fewer.values()} == set(range(5))
+    assert sum(again[i][0] != more[i][0] for i in again) < len(again) / 4
+    for got, n in ((again, 6), (more, 7), (fewer, 5)):
+        load = [sum(size for s, size in got.values() if s == k) for k in range(n)]
+        assert max(load) - min(load) < sum(load) / n / 10
+    assert sorted(p.name for p in (tmp_path / "maps").iterdir()) == [f"v{i:08d}" for i in range(1, 5)]
+    with pytest.raises(ValueError):
+        sharding.shard(every, 6, 128, maps)
+
+
 def test_rebalancing_moves_few_slots():
     rng = random.Random(1)
     sizes = [rng.randint(0, 100) for _ in range(512)]
