@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from innings.llm.tables import absent, hashed, possible, stored
+from innings.llm.tables import hashed, possible, stored
 from innings.llm.words import PUNCTUATION, Words, mix, parts, split
 
 
@@ -327,7 +327,8 @@ def matches(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> Data
 
 
 def clean(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` without a match, every column as it is. Rows move only if their text may be a match."""
+    """The rows of ``docs`` without a match, every column as it is. The size of the stored matches
+    decides whether rows move."""
     keyed = docs.select("*", *hashed(F.coalesce(F.col("text"), F.lit("")), *TEXT))
     found = copies(keyed.where("text is not null").select(*TEXT, "text"), items, s)
-    return absent(keyed, found.select(*TEXT).distinct(), TEXT).select(*docs.columns)
+    return keyed.join(found.select(*TEXT), TEXT, "left_anti").select(*docs.columns)
