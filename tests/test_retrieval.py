@@ -179,6 +179,17 @@ def test_blocks_are_passed_over_without_loss(spark, k, block, at_once):
         index.blocks.rdd.getNumPartitions())
 
 
+def test_blocks_lie_in_short_row_groups(spark, tmp_path):
+    """A reader of lists holds a whole group (up to 4,096 rows) at once; a row is a block of documents."""
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i}") for i in range(200)], "doc_id int, text string").coalesce(1)
+    R.bm25_index(docs, str(tmp_path / "ix"), block=4)
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "ix" / "blocks").glob("*.parquet")]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) == 50 and max(groups) <= 16
+
+
 def test_search_skips_blocks():
     import pyarrow as pa
 
