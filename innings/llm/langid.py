@@ -29,10 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from innings.llm import gru
-from innings.llm.tables import remainder
+from innings.llm.tables import remainder, stored
 from innings.llm.words import Words, parts, split
+from innings.operators.ordered import cumulative_by_value
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -46,7 +48,6 @@ class Settings:
     epochs: int = 3
     batch: int = 256
     rate: float = 0.01
-    judged: int = 10_000  # documents, in expectation, that the least share is chosen on
     loss: float = 0.001  # of rightly named documents that may be below it
     seed: int = 3
 
@@ -205,46 +206,50 @@ def identify(docs: DataFrame, s: Settings = Settings(), folds: int = 5) -> DataF
                        "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def least_share(docs: DataFrame, net: Network, s: Settings = Settings(), folds: int = 5) -> float:
-    """The pooled probability from which on a text is accepted.
+def least_share(scored: DataFrame, s: Settings = Settings(), folds: int = 5) -> float:
+    """The pooled probability from which on a text is accepted, from ``doc_id, text, lang, _named, _share``.
 
     Half, so that one language has more than all others; less if more than
     ``loss`` of the documents of the training folds that the network names
-    rightly (about ``judged`` of them, drawn by a hash of the id) were below.
+    rightly were below. All of them count, by their exact rank.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", folds) != 0))
-    share = int(min(1.0, s.judged / max(1, known.count())) * 1_000_000)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(1_000_000)) < share)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts(batch):
-                name, score = predict(part.column("text"), net)
-                right = np.array(name) == np.array(part.column("lang").to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(score[right])], names=["score"])
-
-    scores = np.sort([r["score"] for r in drawn.select("lang", "text").mapInArrow(run, "score double").collect()])
-    return min(0.5, float(scores[int(len(scores) * s.loss)])) if len(scores) else 0.0
+    right = scored.where(F.col("text").isNotNull() & (F.col("_named") == F.col("lang"))
+                         & (remainder("doc_id", folds) != 0)).select("_share")
+    low = right.where("_share < 0.5")
+    n, n_low = right.agg(F.count("*"), F.count_if(F.col("_share") < 0.5)).first()
+    if not n:
+        return 0.0
+    if n_low <= int(n * s.loss):
+        return 0.5
+    ranked = cumulative_by_value(low, "_share", {"n": F.lit(1)})
+    return ranked.where(F.col("n_below") + F.col("n") > int(n * s.loss)).agg(F.min("_share")).first()[0]
 
 
 def accepted(docs: DataFrame, least: float | None = None, s: Settings = Settings(), folds: int = 5) -> DataFrame:
     """The rows whose text has a language, with a pooled probability of ``least`` or more; all columns as they are.
 
-    Without ``least`` it is chosen by :func:`least_share`. If nothing could be
-    learned, for want of labels, no text is rejected but those without a letter.
+    Without ``least`` it is chosen by :func:`least_share`, from the stored
+    probabilities of all rows: every text is read by the network once. If
+    nothing could be learned, for want of labels, no text is rejected but
+    those without a letter.
     """
     net = learned(docs, s, folds)
-    if least is None:
-        least = 0.0 if net is None else least_share(docs, net, s, folds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
                 if net is None:
                     keep = np.array([bool(_LETTER.search(t.as_py() or "")) for t in part.column("text")])
-                else:
-                    name, score = predict(part.column("text"), net)
-                    keep = (np.array(name) != UNKNOWN) & (score >= least)
-                yield part.filter(pa.array(keep))
+                    yield part.filter(pa.array(keep))
+                    continue
+                name, score = predict(part.column("text"), net)
+                yield part.append_column("_named", pa.array(name, pa.string())).append_column("_share", pa.array(score))
 
-    return docs.mapInArrow(run, docs.schema)
+    if net is None:
+        return docs.mapInArrow(run, docs.schema)
+    scored = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_named", T.StringType()),
+                                                T.StructField("_share", T.DoubleType())]))
+    if least is None:
+        scored = stored(scored, "language-scored")
+        least = least_share(scored, s, folds)
+    return scored.where((F.col("_named") != UNKNOWN) & (F.col("_share") >= least)).select(*docs.columns)

@@ -284,6 +284,39 @@ def test_language_accuracy(spark, sf):
     assert right >= 0.9
 
 
+def test_least_share_counts_all_labelled_documents(spark, tmp_path):
+    """The exact rank among all rightly named documents of the training folds, none left out, repeats counted."""
+    rows = [(i, "a", "en", "en", 0.2 + 0.7 * ((i * 7919) % 12_000) / 12_000) for i in range(12_000)]
+    rows += [(i, "a", "de", "en", 0.01) for i in range(50)] + [(1, None, "en", "en", 0.0), (3, "a", None, "en", 0.0)]
+    rows += rows[:40]
+    scored = spark.createDataFrame(rows, "doc_id long, text string, lang string, _named string, _share double")
+    right = sorted(r[4] for r in rows if r[1] and r[2] == r[3] and zlib.crc32(str(r[0]).encode()) % 5)
+    settings = langid.Settings(loss=0.01)
+    assert langid.least_share(scored, settings) == right[int(len(right) * 0.01)] < 0.5
+    assert langid.least_share(scored, langid.Settings(loss=0.9)) == 0.5
+    assert langid.least_share(scored.where("false"), settings) == 0.0
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    import pyarrow as pa
+
+    from innings.session import bounded_batches
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        bounded_batches(spark)
+        rows = spark.range(4_000, numPartitions=1).select(F.repeat(F.lit("ab "), 2_000).alias("text"))
+        got = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(got) >= 24_000_000 and max(got) <= 5 << 20
+
+
 def test_texts_in_no_language_are_rejected(spark, sf):
     """A text of four languages in equal parts goes, clean held-out ones stay; without labels only letters count."""
     table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
