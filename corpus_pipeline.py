@@ -7,7 +7,7 @@ last return the columns of ``documents``:
 
 * ``language_id`` drops texts without a language (null, without a letter, or
   in which no language has half of the network's probability, or so much less
-  as one in a thousand labelled documents lacks too); in a table without
+  as one in a thousand of all labelled documents lacks too); in a table without
   labels only nulls and texts without a letter;
 * ``near_dedup`` keeps one document of each group of near copies (five-word
   shingles, similarity 0.8);
@@ -27,17 +27,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from innings.llm import decontamination, langid, minhash, mixing, sharding
 from innings.llm.tables import stored, table
+from innings.session import bounded_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return langid.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return minhash.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
