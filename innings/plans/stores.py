@@ -8,7 +8,7 @@ from innings.operators import features as X
 from innings.plans.registry import query
 from innings.plans.sql import isum, sql
 from innings.plans.texts import doc_corpus
-from innings.session import new_folder
+from innings.session import new_folder, stored
 from innings.sources import ingest, schemas, tables
 from innings.sources.adapter import matches, sequenced, table, with_teams
 
@@ -23,7 +23,7 @@ def _raw_files(spark, sf):
     A match lies in one file, in order; missing values have the spellings that sources use.
     """
     games = matches(spark, sf)
-    balls = with_teams(sequenced(spark, sf).rows, games)
+    balls = stored(with_teams(sequenced(spark, sf).rows, games), "raw-balls")
     root = new_folder(spark, "raw")
     early = games.where(F.year("date") < CUT)
     early.write.option("header", True).csv(f"{root}/main/matches_main.csv")
@@ -60,9 +60,9 @@ def _built(spark, sf):
 SELECT id, season, date, venue, team1, team2, winner, toss_winner, toss_decision,
  CASE WHEN year(date) < {CUT} THEN win_by_runs ELSE 0 END AS win_by_runs FROM m"""))
 def ingest_matches(spark, sf):
-    stored = tables.load_table(spark, f"{_built(spark, sf)}/matches", "matches")
-    return stored.select("id", "season", "date", "venue", "team1", "team2", "winner", "toss_winner", "toss_decision",
-                         "win_by_runs")
+    clean = tables.load_table(spark, f"{_built(spark, sf)}/matches", "matches")
+    return clean.select("id", "season", "date", "venue", "team1", "team2", "winner", "toss_winner", "toss_decision",
+                        "win_by_runs")
 
 
 @query("ingest_deliveries", sql("m d", f"""
@@ -70,9 +70,9 @@ SELECT {_BALLS}, m.season, batsman_runs, extra_runs, batsman_runs + extra_runs A
  dismissal_kind IS NOT NULL AS is_wicket, CASE WHEN year(m.date) < {CUT} THEN extra_runs END AS wides
 FROM d JOIN m ON m.id = d.match_id"""))
 def ingest_deliveries(spark, sf):
-    stored = tables.load_table(spark, f"{_built(spark, sf)}/deliveries", "deliveries")
-    return stored.select(*_BALLS.split(", "), "season", "batsman_runs", "extra_runs", "total_runs", "dismissal_kind",
-                         "intent", "phase", "is_wicket", "wides")
+    clean = tables.load_table(spark, f"{_built(spark, sf)}/deliveries", "deliveries")
+    return clean.select(*_BALLS.split(", "), "season", "batsman_runs", "extra_runs", "total_runs", "dismissal_kind",
+                        "intent", "phase", "is_wicket", "wides")
 
 
 @query("store_reload", sql("m d", f"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from innings.operators.ordered import CHUNK_BITS
+from innings.session import stored
 from innings.sources import raw, tables
 from innings.sources.schemas import MATCHES, conform
 
@@ -33,21 +34,23 @@ def ingest(spark: SparkSession, folder: str, match_files: str | None = None,
 
     ``folder`` holds the main source (``*matches*.csv``, ``*deliveries*.csv``);
     ``match_files`` a folder of per-match files, used from ``cut_year`` on.
+    Their lines are parsed once; matches are stored, since balls take their season.
     """
     match_sources = raw.read_raw(spark, f"{folder}/*matches*.csv", "match")
     ball_sources = raw.read_raw(spark, f"{folder}/*deliveries*.csv", "delivery")
     if match_files:
         extra = raw.since_year(raw.read_match_files(spark, match_files), "start_date", cut_year)
-        extra = extra.withColumns({"_source": F.lit(len(ball_sources)), "_pos": F.col("seq")})
+        extra = raw.parsed_once(extra.withColumns({"_source": F.lit(len(ball_sources)), "_pos": F.col("seq")}), "balls")
         ball_sources.append(extra)
         index = raw.build_match_index(extra)
         match_sources.append(index.withColumns({"_source": F.lit(len(match_sources)), "_pos": F.lit(0).cast("long")}))
-    matches = raw.numeric_key(raw.clean_matches(match_sources), "id")
+    matches = conform(raw.numeric_key(raw.clean_matches(match_sources), "id").drop("_source", "_pos"), MATCHES)
+    matches = stored(matches, "clean-matches")
     balls = _in_load_order(raw.numeric_key(raw.clean_deliveries(ball_sources), "match_id"))
     seasons = matches.select(F.col("id").alias("_id"), F.col("season").alias("_season"))
     balls = balls.drop("season").join(seasons, F.col("match_id") == F.col("_id"), "left")
     balls = balls.withColumnRenamed("_season", "season").drop("_id", "_source", "_pos")
-    return conform(matches.drop("_source", "_pos"), MATCHES), balls
+    return matches, balls
 
 
 def build(spark: SparkSession, folder: str, out: str, match_files: str | None = None) -> dict[str, list[str]]:

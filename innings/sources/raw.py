@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innings.functions import scalars as S
 from innings.operators.keyed import dedup_keep_last
 from innings.operators.ordered import last_n
+from innings.session import stored
 
 # The columns that a ball file must have.
 REQUIRED_BALL_COLUMNS = ["innings", "ball", "batting_team", "bowling_team", "striker"]
@@ -124,14 +125,21 @@ def since_year(df: DataFrame, col: str, year: int) -> DataFrame:
     return df.filter(F.year(S.parse_date(F.col(col))) >= year)
 
 
+def parsed_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored under neutral column names, so that text is parsed once whatever its columns are called."""
+    kept = stored(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), name)
+    return kept.toDF(*df.columns)
+
+
 def read_match_files(spark: SparkSession, folder: str) -> DataFrame:
     """One file per match, with facts in a companion ``*_info.csv`` or inline.
 
     The whole folder is one text scan. Every ball meets the header line of its
     own file, and a wanted column is looked up by its name there; so neither
-    the number of files nor of layouts changes the plan. Only the distinct
-    column names come to the driver. Files that lack a required column are
-    left out; of two columns of one name the first counts.
+    the number of files nor of layouts changes the plan. Header lines and
+    facts are stored first, so their real size decides how balls meet them.
+    Only the distinct column names come to the driver. Files that lack a
+    required column are left out; of two columns of one name the first counts.
     """
     lines = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(folder).select(
         "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")
@@ -145,26 +153,34 @@ def read_match_files(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(companion.alias("companion"), "at").alias("rank"),
     )
     info = facts.groupBy("stem").pivot("key", INFO_KEYS).agg(F.max_by("fact", "rank"))
-    info = info.withColumnsRenamed({k: f"_info_{k}" for k in INFO_KEYS})
+    info = stored(info.withColumnsRenamed({k: f"_info_{k}" for k in INFO_KEYS}), "match-facts")
 
     balls = lines.filter(~is_info & ~companion)
     names = F.transform(F.split("head", ","), lambda c: F.trim(F.translate(c, '"', "")))
-    heads = balls.groupBy("file").agg(F.min_by("value", "at").alias("head"), F.min("at").alias("first")).select(
-        "file", "first", names.alias("names")).filter(
+    # The places alone are aggregated by hash; a smallest-by of text would sort all lines.
+    firsts = stored(balls.groupBy(F.col("file").alias("_file")).agg(F.min("at").alias("first")), "first-lines")
+    heads = stored(balls.join(firsts, (F.col("file") == F.col("_file")) & (F.col("at") == F.col("first"))).select(
+        "file", "first", F.col("value").alias("head")), "headers")
+    heads = heads.select("file", "first", names.alias("names")).filter(
         F.size(F.array_except(F.array(*map(F.lit, REQUIRED_BALL_COLUMNS)), "names")) == 0)
-    known = [r[0] for r in heads.select(F.explode("names")).distinct().collect()]
+    known = sorted(r[0] for r in heads.select(F.explode("names")).distinct().collect())
     if not known:
         raise ValueError(f"no usable match files in {folder}")
     width = heads.agg(F.max(F.size("names"))).first()[0]
     schema = ", ".join(f"c{i} STRING" for i in range(width))
+    # Names are looked up once per file: the place of every known name in it, -1 where it has none.
+    heads = heads.withColumn("places", F.transform(
+        F.array(*map(F.lit, known)), lambda n: F.array_position("names", n).cast("int") - 1))
+    # A generator of one row keeps what it makes from being copied into every expression that reads one of its cells.
     rows = balls.join(heads, "file").filter(F.col("at") > F.col("first")).select(
-        "stem", (F.col("at") - F.col("first")).alias("seq"), "names", F.from_csv("value", schema).alias("c"))
-    rows = rows.select("stem", "seq", "names", F.array(*[F.col(f"c.c{i}") for i in range(width)]).alias("cells"))
-
-    def cell(name: str) -> Column:
-        return F.get("cells", F.array_position("names", F.lit(name)).cast("int") - 1)
-
-    cells = {n: S.null_spellings_to_null(cell(n)) for n in sorted(known)}
+        "stem", (F.col("at") - F.col("first")).alias("seq"), "names", "places",
+        F.explode(F.array(F.from_csv("value", schema))).alias("c"))
+    rows = rows.select("stem", "seq", "names", "places",
+                       F.explode(F.array(F.array(*[F.col(f"c.c{i}") for i in range(width)]))).alias("cells"))
+    placed = F.transform(F.transform("places", lambda p: F.get("cells", p)), S.null_spellings_to_null)
+    rows = rows.select("stem", "seq", "names", F.explode(F.array(placed)).alias("values"))
+
+    cells = {n: F.get("values", F.lit(i)) for i, n in enumerate(known)}
     # A fact of the companion file stands in where the file has no such column at all.
     for k in INFO_KEYS:
         has = F.array_contains("names", F.lit(k))
@@ -179,7 +195,9 @@ def build_match_index(deliveries: DataFrame, date: str = "start_date") -> DataFr
     """Match table from balls: the facts of its first ball and its first two batting sides."""
     facts = [date, "venue", "winner", "toss_winner", "toss_decision"]
     present = [c for c in facts if c in deliveries.columns]
-    first = deliveries.groupBy("match_id").agg(*[F.min_by(c, "seq").alias(f"_f_{c}") for c in present])
+    starts = stored(deliveries.groupBy(F.col("match_id").alias("_m")).agg(F.min("seq").alias("_first")), "match-starts")
+    opening = deliveries.join(starts, F.col("match_id").eqNullSafe(F.col("_m")) & (F.col("seq") == F.col("_first")))
+    first = opening.groupBy("match_id").agg(*[F.min_by(c, "seq").alias(f"_f_{c}") for c in present])
     sides = deliveries.filter(F.col("batting_team").isNotNull()).groupBy("match_id", "batting_team").agg(
         F.min("seq").alias("_s"))
     ranked = last_n(sides, ["match_id"], [F.col("_s")], 2, "_rn")

@@ -108,6 +108,12 @@ def test_build_writes_known_columns(spark, folder, tmp_path):
     assert tables.load_table(spark, f"{out}/deliveries", "deliveries").count() == 7
 
 
+def test_lines_of_match_files_are_parsed_once(spark, folder):
+    """What is read several times lies in a stored table: no plan goes back to the text of the match files."""
+    for df in ingest.ingest(spark, str(folder / "main"), str(folder / "games")):
+        assert "FileScan text" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_missing_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         raw.read_raw(spark, f"{tmp_path}/*matches*.csv", "match")
