@@ -81,8 +81,7 @@ GROUP BY 1"""))
 def store_reload(spark, sf):
     """All seasons are stored, then only the later ones: nothing of the others may stay."""
     games = matches(spark, sf)
-    balls = with_teams(sequenced(spark, sf).rows, games).join(
-        games.select(F.col("id").alias("match_id"), "season"), "match_id")
+    balls = stored(with_teams(sequenced(spark, sf).rows, games, ["season"]), "balls")
     root = new_folder(spark, "store")
     tables.replace_tables(root, games, balls)
     late = F.col("season") >= 1998

@@ -66,3 +66,18 @@ def test_audit_details(spark):
     df = spark.range(1000)
     assert sorted(A.bounded_sample(df, ["id"], 10).collect()) == sorted(A.bounded_sample(df.orderBy(F.rand()), ["id"], 10).collect())
     assert A.bounded_sample(df, ["id"], 5000).count() == 1000
+
+
+def test_both_loads_of_a_reload_read_stored_balls(spark, sf, monkeypatch):
+    """Balls are numbered and joined once; neither load does it again."""
+    from innings.plans import stores
+
+    plans, replace = [], stores.tables.replace_tables
+
+    def seen(root, matches, deliveries):
+        plans.append(deliveries._jdf.queryExecution().executedPlan().toString())
+        return replace(root, matches, deliveries)
+
+    monkeypatch.setattr(stores.tables, "replace_tables", seen)
+    assert stores.store_reload(spark, sf).count() > 0
+    assert len(plans) == 2 and not any("Window" in p or "Join" in p for p in plans)
