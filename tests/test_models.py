@@ -70,6 +70,15 @@ def test_folds_hold_equal_parts_of_every_class(spark):
     assert again == {r["id"]: r["fold"] for r in got.collect()}
 
 
+def test_training_rows_lie_in_as_few_parts_as_their_number_needs(spark, wins, monkeypatch):
+    few = M.in_few_parts(wins.repartition(50))
+    assert few.rdd.getNumPartitions() == 1 and sorted(few.collect()) == sorted(wins.collect())
+    assert M.in_few_parts(wins.where("id < 0")).count() == 0
+    monkeypatch.setattr(M, "TASK_ROWS", 30)
+    some = M.in_few_parts(wins.repartition(50))
+    assert some.rdd.getNumPartitions() == 7 and some.count() == 200
+
+
 def test_early_stopping_ends_a_search_of_many_rounds(spark, wins):
     noise = wins.withColumn("label", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(2)).cast("int"))
     _, best = M.train_win_model(noise, [{"maxIter": 200, "maxDepth": 2}], folds=2)
