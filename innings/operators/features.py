@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from innings.functions.scalars import INTENT_CLASSES, intent_label, phase_enc
 from innings.operators import windows as W
 from innings.operators.career import global_h2h_sr, with_match
-from innings.operators.ordered import Sequenced, match_block, running
+from innings.operators.ordered import Sequenced, dealt, match_block, running
 from innings.operators.teams import pair_win_pct, team_form
 
 WIN_FEATURES = [
@@ -117,9 +117,63 @@ def _prior_pair_rate(balls: Sequenced) -> DataFrame:
     return rated.drop("_ir", "_ib", "_er", "_eb")
 
 
+def _history(balls: DataFrame, plain: DataFrame, size: int) -> DataFrame:
+    """``balls`` with the pair's and the batter's record before each ball, by windows over a batter's block of matches.
+
+    What a ball needs from elsewhere comes in as rows of their own in front of it (the pair's sums before the block, the
+    batter's form before the match), so no ball is moved for a join.
+    """
+    pair = ["batter", "bowler"]
+    known = plain.filter(F.col("batter").isNotNull())
+    sums = known.filter(F.col("bowler").isNotNull()).groupBy(*pair, match_block().alias("_block")).agg(
+        F.sum("batsman_runs").alias("_r"), F.count(F.lit(1)).alias("_b"))
+    pairs = running(sums, pair, ["_block"], [], {"_runs": F.col("_r"), "_faced": F.col("_b")}, prior=True).select(
+        *pair, "_block", "_runs", "_faced")
+    # A batter's balls of a match meet in one part, so no task holds more innings than balls dealt to it.
+    form = W.batter_form(dealt(known.select("batter", "match_id", "batsman_runs"), size, "match_id")).select(
+        "batter", match_block().alias("_block"), F.col("match_id").alias("_at"), F.col("prev_avg").alias("_form"))
+
+    rows = balls.withColumns({
+        "_block": match_block(), "_at": F.col("match_id"), "_runs": F.col("batsman_runs"), "_faced": F.lit(1), "_ball": F.lit(True),
+    }).unionByName(pairs, allowMissingColumns=True).unionByName(form, allowMissingColumns=True)
+    rows = dealt(rows, size, "batter", "_block")
+    of_batter = Window.partitionBy("batter", "_block").orderBy("_at", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    of_pair = Window.partitionBy(*pair, "_block").orderBy("_at", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("batter_last5_avg", F.coalesce(F.last("_form", ignorenulls=True).over(of_batter), F.lit(20.0)))
+    rows = rows.withColumns({n: F.coalesce(F.sum(n).over(of_pair), F.lit(0)) for n in ("_runs", "_faced")})
+    faced = F.when(F.col("batter").isNotNull() & F.col("bowler").isNotNull(), F.col("_faced"))
+    return rows.filter("_ball").withColumns({
+        "h2h_balls": faced, "h2h_sr_global": F.when(faced > 0, F.col("_runs") * 100.0 / faced).otherwise(100.0)})
+
+
 def intent_features_prior(deliveries: DataFrame | Sequenced, matches: DataFrame) -> DataFrame:
-    """Per-ball matrix of what was known before the ball, for training and scoring."""
-    balls = _labelled(Sequenced.of(deliveries), matches)
+    """Per-ball matrix of what was known before the ball, for training and scoring.
+
+    Balls are shuffled twice: by match, and by batter and block of matches. Rates are derived behind the second shuffle,
+    which moves their counts only. With hot matches the figures come by joins.
+    """
+    balls = Sequenced.of(deliveries)
+    if balls.size is None:
+        return _prior_by_joins(balls, matches)
+    match = Window.partitionBy("match_id")
+    target = F.sum(F.when(F.col("inning") == 1, F.col("total_runs"))).over(match) + 1
+    rows = balls.with_rows(balls.rows.withColumn("target", target))
+    rows = balls.with_rows(W.innings_progress(rows, prior=True))
+    rows = W.bowler_last3(balls.with_rows(W.spell_sums(rows, prior=True)))
+    games = matches.select(F.col("id").alias("_id"), F.coalesce("season", F.lit(2023)).alias("season"), F.lit(True).alias("_known"))
+    rows = rows.drop("season").join(games, F.col("match_id") == F.col("_id"), "left").select(
+        "match_id", "seq", "batter", "bowler", "inning", "over", "ball", "batsman_runs", "target", "cum_runs", "cum_balls",
+        "cum_wickets", "bowler_spell_balls", "bowler_spell_runs", "bowler_last3_runs", "season", "_known",
+        phase_enc("phase").alias("phase_enc"), intent_label().alias("intent"))
+    out = _history(rows, balls.plain, balls.size).filter("_known")
+    out = W.with_economy(W.with_chase_rate(W.with_rates(out), W.balls_left() + 1))
+    out = serving_names(out.withColumn("bowler_type_enc", F.lit(0)))
+    return out.select("match_id", "seq", *PRIOR_FEATURES, "h2h_balls", "target", "intent")
+
+
+def _prior_by_joins(balls: Sequenced, matches: DataFrame) -> DataFrame:
+    """The same rows where matches may be hot: figures of a hot match run in its chunks, the others are joined."""
+    balls = _labelled(balls, matches)
     innings = W.with_rates(W.innings_progress(balls, prior=True))
     innings = innings.join(W.chase_target(balls.plain), F.col("match_id") == F.col("_m"), "left").drop("_m")
     innings = W.with_chase_rate(innings, W.balls_left() + 1)

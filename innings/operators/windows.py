@@ -60,16 +60,22 @@ def chase_pressure(deliveries: DataFrame | Sequenced) -> DataFrame:
     return with_chase_rate(joined, balls_left())
 
 
-def bowler_spell(deliveries: DataFrame | Sequenced, prior: bool = False) -> DataFrame:
-    balls = Sequenced.of(deliveries)
-    out = running(
+def spell_sums(balls: Sequenced, prior: bool = False) -> DataFrame:
+    return running(
         balls.rows, ["match_id", "bowler"], ["seq"], [["chunk"]],
         {"bowler_spell_balls": F.lit(1), "bowler_spell_runs": F.col("total_runs")}, prior, balls.hot,
     )
+
+
+def with_economy(out: DataFrame) -> DataFrame:
     economy = even_round(F.col("bowler_spell_runs") / F.col("bowler_spell_balls") * 6)
     return out.withColumn("bowler_economy", F.when(F.col("bowler_spell_balls") > 0, economy).otherwise(0.0))
 
 
+def bowler_spell(deliveries: DataFrame | Sequenced, prior: bool = False) -> DataFrame:
+    return with_economy(spell_sums(Sequenced.of(deliveries), prior))
+
+
 def bowler_last3(deliveries: DataFrame | Sequenced, n: int = 3) -> DataFrame:
     balls = Sequenced.of(deliveries)
     return trailing(

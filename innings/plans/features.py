@@ -152,7 +152,7 @@ def intent_features(spark, sf):
 
 @query("intent_features_prior", sql("fp", "SELECT * FROM fp"))
 def intent_features_prior(spark, sf):
-    return X.intent_features_prior(sequenced(spark, sf), matches(spark, sf))
+    return X.intent_features_prior(sequenced(spark, sf, by_match=True), matches(spark, sf))
 
 
 @query("match_features", sql("mf", "SELECT * FROM mf"))

@@ -83,6 +83,33 @@ def test_prior_features_do_not_depend_on_cuts(spark, skewed, small_chunks):
     assert rows(cut) == rows(whole)
 
 
+def test_prior_features_move_balls_twice(spark, sf, monkeypatch):
+    """By match, and by batter and block; parts grow in number, not in size."""
+    monkeypatch.setattr(O, "TASK_ROWS", 500)
+    balls = sequenced(spark, sf, by_match=True)
+    n = -(-balls.plain.count() // 500)
+    assert balls.size == balls.plain.count() and balls.rows.rdd.getNumPartitions() == n
+    df = X.intent_features_prior(balls, matches(spark, sf))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "cum_runs" in plan and plan.count(f", {n}), REPARTITION_BY_NUM") <= 4  # and innings, twice
+    assert len(rows(df)) == balls.size
+
+
+def test_prior_features_of_odd_balls(spark, small_chunks):
+    """Nulls, unknown matches and matches without a first innings, with cuts and without."""
+    facts = [(m, s, b, w, i, s // 6, 1 + s % 6, (s * 7 + (m or 0)) % 5) for m in (1, 2, 5, 9, 40, 41, None)
+             for s, (b, w, i) in enumerate([("a", "x", 1), ("b", None, 1), (None, "x", 1), ("a", "x", 2), ("a", "y", 2), ("b", "x", 3)] * 4, 1)
+             if m != 5 or i > 1]
+    balls = spark.createDataFrame(facts, "match_id long, seq long, batter string, bowler string, inning int, over int, ball int, "
+                                  "batsman_runs int").selectExpr(
+        "*", "0 as extra_runs", "batsman_runs as total_runs", "cast(null as string) as dismissal_kind", "'middle' as phase",
+        "seq % 5 = 0 as is_wicket")
+    games = spark.createDataFrame([(1, 1999), (2, None), (5, 2000), (40, 2001), (41, 2001)], "id long, season int")
+    whole = O.Sequenced.of(balls)
+    assert whole.size == balls.count()
+    assert rows(X.intent_features_prior(whole, games)) == rows(X._prior_by_joins(whole, games))
+
+
 def test_numbering_of_a_hot_match(spark, sf, monkeypatch):
     cut, whole = sequenced(spark, sf, share=0.0, floor=150), sequenced(spark, sf)
     assert cut.hot.count() > 0
