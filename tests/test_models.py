@@ -124,6 +124,40 @@ def test_contributions_against_all_subsets(spark, wins):
     assert all(r[1] + K.base(every) == pytest.approx(r[2]) for r in told.collect())
 
 
+def test_intent_rows_are_made_once(spark, sf):
+    """Both sides of the split are read from one stored table: no window or shuffle runs again for a pass over them."""
+    from innings.plans.models import CUTOFF, intent_rows
+
+    train, test = intent_rows(spark, sf)
+    for side in (train, test):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Exchange" not in plan
+    assert train.where(f"season >= {CUTOFF}").isEmpty() and test.where(f"season <> {CUTOFF}").isEmpty()
+    assert train.count() > 0 and test.count() > 0
+
+
+def test_forest_search_keeps_one_copy_of_its_rows(spark):
+    """The settings with the best mean over the folds win, and no fit adds a cached copy of the rows."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    kept = []
+
+    class Watching(MulticlassClassificationEvaluator):
+        def evaluate(self, dataset):
+            kept.append(spark._jsparkSession.sharedState().cacheManager().numCachedEntries())
+            return super().evaluate(dataset)
+
+    df = spark.range(300).select("id", (F.col("id") % 20).alias("a"), (F.col("id") % 20 >= 10).cast("int").alias("label"))
+    before = spark._jsparkSession.sharedState().cacheManager().numCachedEntries()
+    grid = [{"numTrees": 1, "maxDepth": 0}, {"numTrees": 3, "maxDepth": 3}]
+    model, best = M._search(df, RandomForestClassifier(seed=1), grid, ["a"], ["id"], 3, 1, Watching(metricName="accuracy"))
+    assert best["params"] == grid[1] and best["score"] > 0.95
+    assert len(kept) == 6 and set(kept) == {before + 1}
+    assert spark._jsparkSession.sharedState().cacheManager().numCachedEntries() == before
+    assert model.transform(df.withColumn("a", F.col("a").cast("double"))).where("prediction <> label").isEmpty()
+
+
 def test_intent_scores(spark):
     n = F.xxhash64("seq")
     df = spark.range(400).select(F.lit(1).alias("match_id"), F.col("id").alias("seq"), F.lit(10).alias("h2h_balls")).withColumns({
