@@ -369,6 +369,36 @@ def test_language_model_learns_and_is_whole(spark):
     assert good["score"] > bad["score"] and good["score"] > good["base_score"]
 
 
+def test_language_model_trains_on_every_word(spark):
+    """Every run of every document is in one group of one round, and no run is without effect on the weights."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 10, n).tolist() for n in (1, 7, 8, 9, 16, 90, *[30] * 24)]
+    ids = [None, None, 5, 5, 6, *range(10, 10 + len(texts) - 5)]
+    s = lm.fitted(lm.Settings(vocabulary=8, classes=2, hidden=4, window=4, run=8, streams=2, rounds=2, groups=3, steps=4,
+                              piece=40, few=1), sum(map(len, texts)))
+    assert (s.rounds, s.groups, s.epochs) == (2, 3, 1)
+
+    def table(texts):
+        return spark.createDataFrame(list(zip(ids, texts)), "doc_id long, ids array<int>")
+
+    def weights(rows):
+        net = lm.Network(s)
+        lm.trained(net, rows, s)
+        return np.concatenate(net.blocks())
+
+    runs = lm.all_runs(table(texts).repartition(3), s).collect()
+    assert sorted(r["ids"] for r in runs) == sorted(t[a:a + 8] for t in texts for a in range(0, len(t), 8))
+    assert len({(r["round"], r["part"]) for r in runs}) == 6
+    base = weights(table(texts).coalesce(1))
+    assert np.allclose(base, weights(table(texts).repartition(5)), atol=1e-6)
+    for i, at in ((0, 0), (3, 8), (5, 44), (20, 29)):
+        other = [list(t) for t in texts]
+        other[i][at] = (other[i][at] + 1) % 10
+        assert not np.allclose(base, weights(table(other)), atol=1e-6)
+
+
 def test_language_model_against_plain_loops():
     """Probabilities of all words sum to one, and a document's score is the product of its steps."""
     import numpy as np
