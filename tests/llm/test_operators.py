@@ -381,7 +381,8 @@ def test_language_model_trains_on_every_word(spark):
     assert (s.rounds, s.groups, s.epochs) == (2, 3, 1)
 
     def table(texts):
-        return spark.createDataFrame(list(zip(ids, texts)), "doc_id long, ids array<int>")
+        rows = [(i, np.array(t, np.int32).tobytes()) for i, t in zip(ids, texts)]
+        return spark.createDataFrame(rows, "doc_id long, ids binary")
 
     def weights(rows):
         net = lm.Network(s)
@@ -389,7 +390,7 @@ def test_language_model_trains_on_every_word(spark):
         return np.concatenate(net.blocks())
 
     runs = lm.all_runs(table(texts).repartition(3), s).collect()
-    assert sorted(r["ids"] for r in runs) == sorted(t[a:a + 8] for t in texts for a in range(0, len(t), 8))
+    assert sorted(np.frombuffer(r["ids"], np.int32).tolist() for r in runs) == sorted(t[a:a + 8] for t in texts for a in range(0, len(t), 8))
     assert len({(r["round"], r["part"]) for r in runs}) == 6
     base = weights(table(texts).coalesce(1))
     assert np.allclose(base, weights(table(texts).repartition(5)), atol=1e-6)
