@@ -166,3 +166,27 @@ def test_intent_scores(spark):
     rows = M.score_intent(model, df.drop("inning"), ["over", "inning"], "h2h_balls").collect()
     assert all(sum(r["probabilities"].values()) == pytest.approx(1, abs=1e-3) and r["confidence_flag"] for r in rows)
     assert sum(INTENT_CLASSES.index(r["predicted_intent"]) == r["label"] for r in rows) > 360
+
+
+def test_win_search_tries_all_settings_over_all_folds(spark, wins, monkeypatch):
+    """A hundred settings of the full ranges, five folds each, and no core idle while fits are left."""
+    from innings.plans import models
+
+    asked = {}
+
+    def train(rows, grid, folds):
+        asked.update(grid=grid, folds=folds)
+        return None, {}
+
+    monkeypatch.setattr(models, "win_rows", lambda spark, sf: (wins, wins))
+    monkeypatch.setattr(models, "_FOUND", {})
+    monkeypatch.setattr(M, "train_win_model", train)
+    models.searched(spark, "none")
+    assert asked["grid"] == M.sample_grid(M.WIN_RANGES, 100) and asked["folds"] == 5
+    cores = spark.sparkContext.defaultParallelism
+    assert M._fits_at_once(wins.coalesce(1)) == cores and M._fits_at_once(wins.repartition(cores + 1)) == 1
+
+
+def test_small_steps_go_on_while_the_left_out_fold_gains(spark, wins):
+    _, best = M.train_win_model(wins, [{"maxIter": 12, "maxDepth": 2, "stepSize": 0.01}], folds=2)
+    assert best["rounds"] == 12
