@@ -806,3 +806,26 @@ def test_similar_groups(spark, docs, empty, percent):
     got = as_dict(spotsigs.similar_groups(df, percent))
     assert [got[i]["group_id"] for i in range(len(rows))] == group
     assert len(set(group)) > 5 and spotsigs.similar_groups(empty).count() == 0
+
+
+def test_language_model_makes_all_its_passes_whatever_the_corpus(spark, monkeypatch):
+    """Three passes over every training word; small corpora make them in one task, others go through their rounds again."""
+    import numpy as np
+
+    for tokens in (0, 1, 300_000, 1_000_000, 10**7, 10**9, 10**11):
+        s = lm.fitted(lm.Settings(), tokens)
+        assert s.epochs * s.passes == 3 and (s.epochs == 1 or tokens <= s.few)
+    read = []
+    averaged = lm._averaged
+
+    def counted(rows):
+        read.append(rows)
+        return averaged(rows)
+
+    monkeypatch.setattr(lm, "_averaged", counted)
+    texts = [np.arange(n, dtype=np.int32) % 10 for n in (3, 9, 30, 30, 30)]
+    rows = spark.createDataFrame([(i, t.tobytes()) for i, t in enumerate(texts)], "doc_id long, ids binary")
+    s = lm.fitted(lm.Settings(vocabulary=8, classes=2, hidden=4, window=4, run=8, streams=2, rounds=2, groups=2, steps=2, few=1),
+                  sum(map(len, texts)))
+    lm.trained(lm.Network(s), rows, s)
+    assert len(read) == 3 * s.rounds
